@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import chat_format, exact_dedup
+from quillmill.llm import bpe, chat_format, exact_dedup, packing, record_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = record_files.write_records(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2)
+    return record_files.read_records(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -41,6 +52,11 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS
 """
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=0, capacity=2048)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -51,5 +67,13 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
        doc_id = min(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256 FROM t
 """
 
-QUERIES = {"op4_chat_format": op4_chat_format, "op6_exact_dedup": op6_exact_dedup}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+QUERIES = {
+    "op1_token_records": op1_token_records,
+    "op10_bpe": op10_bpe,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op4_chat_format": op4_chat_format, "op6_exact_dedup": op6_exact_dedup}
 ORACLES = {"op4_chat_format": OP4_SQL, "op6_exact_dedup": OP6_SQL}
