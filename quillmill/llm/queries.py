@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import bpe, chat_format, exact_dedup, license_scan, packing, quality, record_files
+from quillmill.llm import bpe, chat_format, exact_dedup, license_scan, packing, quality, record_files, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
        doc_id = min(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256 FROM t
 """
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(_table(spark, sf_dir, "documents"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -86,6 +90,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_license_scan": op2_license_scan,
+    "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,
     "op5_best_fit_packing": op5_best_fit_packing,
