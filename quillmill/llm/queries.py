@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import bpe, chat_format, exact_dedup, license_scan, packing, quality, record_files, simhash
+from quillmill.llm import bpe, chat_format, exact_dedup, license_scan, packing, quality, record_files, simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,23 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
        doc_id = min(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256 FROM t
 """
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_digests(_table(spark, sf_dir, "documents"), width=50)
+
+
+OP7_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM d WHERE len(w) >= 50),
+k AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS x FROM s),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY x) AS m FROM k) WHERE m < doc_id),
+c AS (SELECT DISTINCT doc_id, i + o AS i FROM r, (SELECT unnest(range(50)) AS o)),
+t AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+f AS (SELECT t.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY t.i) AS x FROM t ANTI JOIN c ON t.doc_id = c.doc_id AND t.i = c.i GROUP BY t.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(x, '')) AS kept_sha256
+FROM d LEFT JOIN f ON d.doc_id = f.doc_id
+"""
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(_table(spark, sf_dir, "documents"))
 
@@ -90,9 +107,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_license_scan": op2_license_scan,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op4_chat_format": op4_chat_format, "op6_exact_dedup": op6_exact_dedup}
-ORACLES = {"op4_chat_format": OP4_SQL, "op6_exact_dedup": OP6_SQL}
+ORACLES = {"op7_substring_dedup": OP7_SQL, "op4_chat_format": OP4_SQL, "op6_exact_dedup": OP6_SQL}
