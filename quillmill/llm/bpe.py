@@ -17,33 +17,26 @@ import heapq
 import json
 from array import array
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quillmill.llm.common import PieceCache, doc_texts, worker_cache
-from quillmill.llm.tokens import ODD_SPACE, PIECE, batch_rows, in_groups
+from quillmill.llm.common import doc_texts, worker_cache
+from quillmill.llm.tokens import BARE, PieceEncoder, Pool, byte_symbols, text_slices
 
 #: Fixed value: the published pattern that cuts text into words for byte-level BPE; \s is Unicode's White_Space.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in vocabularies: printable Latin-1 stands for itself, the
-    other bytes are numbered from U+0100 on."""
-    own = {b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF}
-    rest = iter(range(256, 512))
-    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
-
-
-class PairIndexBPE:
+class PairIndexBPE(PieceEncoder):
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, symbols = spec["model"]["vocab"], byte_symbols()
-        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.special_ids = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.byte_ids = [vocab[s] for s in symbols]
-        self.size = max([*vocab.values(), *self.special.values()]) + 1
+        self.size = max([*vocab.values(), *self.special_ids.values()]) + 1
         self.merges: dict[int, tuple[int, int]] = {}
         for rank, merge in enumerate(spec["model"]["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
@@ -52,14 +45,15 @@ class PairIndexBPE:
         self.bytes_of: list[bytes] = [b""] * self.size
         for token, k in vocab.items():
             self.bytes_of[k] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
-        for token, k in self.special.items():
+        for token, k in self.special_ids.items():
             self.bytes_of[k] = token.encode()
         self.words = regex.compile(WORDS)
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.cache = PieceCache(self._encode_pieces)
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special_ids, key=len, reverse=True))) + ")") if self.special_ids else None
+        super().__init__("spaced", list(self.special_ids), "<u4")
+        self.decoded = Pool.of(self.bytes_of, "u1")
 
-    def merge_all(self, words: list[bytes]) -> list[array]:
-        """Token ids of each word."""
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """The packed token ids of each word."""
         size, merges = self.size, self.merges
         symbols: list[int] = []
         ends = []
@@ -99,38 +93,25 @@ class PairIndexBPE:
                             heapq.heappush(active, (merges[made][0], made))
         out, begin = [], 0
         for end in ends:
-            out.append(array("I", [s for s in symbols[begin:end] if s >= 0]))
+            out.append(array("I", [s for s in symbols[begin:end] if s >= 0]).tobytes())
             begin = end + 1
         return out
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        cut = [self.words.findall(p) for p in pieces]
+    def encode_pieces(self, pieces: pa.Array) -> Pool:
+        return Pool.of(self._encode([p[1:] if p[:1] == BARE else f" {p}" for p in pieces.to_pylist()]), self.dtype)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        cut = [self.words.findall(t) for t in texts]
         words = list(dict.fromkeys(w for ws in cut for w in ws))
-        ids = dict(zip(words, (x.tobytes() for x in self.merge_all([w.encode() for w in words])), strict=True))
+        ids = dict(zip(words, self.merge_all([w.encode() for w in words]), strict=True))
         return [b"".join(map(ids.__getitem__, ws)) for ws in cut]
 
-    def _pieces(self, text: str) -> list[str]:
-        # where white space beyond ASCII may join with a neighbour piece, the piece is the whole text
-        return [text] if ODD_SPACE.search(text) else PIECE.findall(text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed little-endian u32 ids of each text."""
-        cut = []
-        for text in texts:
-            if self.cut and any(s in text for s in self.special):
-                cut.append([(p,) if p in self.special else self._pieces(p) for p in self.cut.split(text) if p])
-            else:
-                cut.append([self._pieces(text)])
-        self.cache.learn(set().union(*(run for runs in cut for run in runs if isinstance(run, list))))
-        look = self.cache.__getitem__
-        packed = lambda run: self.special[run[0]].to_bytes(4, "little") if isinstance(run, tuple) else b"".join(map(look, run))
-        return [b"".join(map(packed, runs)) for runs in cut]
-
-    def decode_bytes(self, packed: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, memoryview(packed).cast("I")))
+    def encode_whole(self, text: str) -> bytes:
+        parts = [p for p in self.cut.split(text) if p] if self.cut else [text]
+        return b"".join(self.special_ids[p].to_bytes(4, "little") if p in self.special_ids else self._encode([p])[0] for p in parts)
 
-    def decode(self, packed: bytes) -> str:
-        return self.decode_bytes(packed).decode("utf-8", errors="replace")
+    def decode(self, ids: np.ndarray) -> str:
+        return self.decoded.gather(ids.astype(np.int64))[0].tobytes().decode("utf-8", errors="replace")
 
 
 def coder(path: str) -> PairIndexBPE:
@@ -154,8 +135,8 @@ def _mapped(docs: DataFrame, path: str, schema: str, row) -> DataFrame:
 
     def run(batches):
         bpe = coder(path)
-        for group in in_groups((r for b in batches for r in batch_rows(b)), 1):
-            rows = [row(doc_id, ids, bpe.decode(ids)) for (doc_id, _), ids in zip(group, bpe.encode([t for _, t in group]), strict=True)]
+        for part in (x for b in batches for x in text_slices(b)):
+            rows = [row(doc_id, ids.tobytes(), bpe.decode(ids)) for doc_id, ids in zip(part.column(0).to_pylist(), bpe.encode_each(part.column(1)), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x, kinds[k]) for x, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
 
     return doc_texts(docs).mapInArrow(run, schema)

@@ -59,23 +59,6 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-class PieceCache(dict):
-    """Token ids (packed little-endian) by piece of text, kept within a Python worker and emptied beyond `most` entries."""
-
-    def __init__(self, encode, most: int = 400_000):
-        super().__init__()
-        self.encode, self.most = encode, most
-
-    def learn(self, pieces: set) -> None:
-        """Encodes those pieces that are not held yet, together."""
-        new = [x for x in pieces if x not in self]
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = list(pieces)
-        if new:
-            self.update(zip(new, self.encode(new), strict=True))
-
-
 _loaded: dict = {}
 
 

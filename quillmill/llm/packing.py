@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import doc_texts, written
-from quillmill.llm.tokens import batch_rows, encoder, in_groups
+from quillmill.llm.tokens import encoder, text_slices
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -37,11 +37,10 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: i
 
     def run(batches):
         coder = encoder(tokenizer_path)
-        end = end_id.to_bytes(coder.width, "little")
-        for group in in_groups((r for b in batches for r in batch_rows(b)), 1):
+        for part in (x for b in batches for x in text_slices(b)):
             rows = []
-            for (doc_id, _), packed in zip(group, coder.encode([t for _, t in group]), strict=True):
-                ids, start = np.frombuffer(packed + end, f"<u{coder.width}").astype("<u4"), 0
+            for doc_id, ids in zip(part.column(0).to_pylist(), coder.encode_each(part.column(1)), strict=True):
+                ids, start = np.append(ids, end_id).astype("<u4"), 0
                 for k, n in enumerate(cut_lengths(len(ids), capacity)):
                     rows.append((doc_id, k, start, n, zlib.crc32(ids[start : start + n].tobytes())))
                     start += n

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import doc_texts, scratch_path, written
-from quillmill.llm.tokens import batch_rows, encoder, in_groups
+from quillmill.llm.tokens import batch_rows, encoder, text_slices
 
 _LENGTH, _SUM, _PAYLOAD, _INDEX = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<qBB"), struct.Struct("<QQQ")
 
@@ -104,20 +104,20 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
         coder, out, name = encoder(tokenizer_path), None, f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         end = end_id.to_bytes(coder.width, "little")
         at = records = tokens = 0
-        for group in in_groups((r for b in batches for r in batch_rows(b)), 1):
+        for part in (x for b in batches for x in text_slices(b)):
             if out is None:
                 system, path = _file_system(name)
                 system.create_dir(path.rpartition("/")[0], recursive=True)
                 out, index = system.open_output_stream(f"{path}.rec"), system.open_output_stream(f"{path}.idx")
             frames, entries = [], []
-            for (doc_id, _), ids in zip(group, coder.encode([t for _, t in group]), strict=True):
-                framed = frame(payload_of(doc_id, ids + end, coder.width))
+            for doc_id, ids in zip(part.column(0).to_pylist(), coder.encode_each(part.column(1)), strict=True):
+                framed = frame(payload_of(doc_id, ids.tobytes() + end, coder.width))
                 frames.append(framed)
                 entries.append(index_entry(at, len(framed) - 16, tokens))
-                at, tokens = at + len(framed), tokens + len(ids) // coder.width + 1
+                at, tokens = at + len(framed), tokens + len(ids) + 1
             out.write(b"".join(frames))
             index.write(b"".join(entries))
-            records += len(group)
+            records += part.num_rows
         if out is not None:
             out.close()
             index.close()
