@@ -183,3 +183,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     joined = rows.join(build_index(rows), ["digest", "n_bytes"])
     null_back = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c)
     return joined.select(null_back("doc_id"), null_back("keep_id"), "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that stay."""
+    stay = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_stay_id"), F.unhex("text_sha256").alias("_stay_digest"))
+    digest = F.unhex(F.sha2(F.regexp_replace(F.coalesce(docs["text"], F.lit("")), BLANKS, " ").cast("binary"), 256))
+    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_stay_id")) & (digest == F.col("_stay_digest")), "left_semi")

@@ -187,3 +187,9 @@ def near_dedup(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     members = classes.join(least, "component").select("fp", "component_id")
     null_back = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c)
     return rows.join(members, "fp").select(null_back("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), null_back("component_id"))
+
+
+def keep_one(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of docs, with all their columns, of each component's smallest doc_id."""
+    stay = near_dedup(docs, width, radius).where("doc_id <=> component_id").select(F.col("doc_id").alias("_stay_id")).distinct()
+    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_stay_id")), "left_semi")

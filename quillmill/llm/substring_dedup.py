@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import NO_ID, doc_texts, shuffle_width, written
+from quillmill.llm.common import NO_ID, shuffle_width, written
 from quillmill.llm.tokens import text_slices
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -243,25 +243,15 @@ def repeated_ranges(docs: DataFrame, width: int = 50, grain: int = 8) -> DataFra
     return met.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
-def _cleaned(docs: DataFrame, width: int, grain: int, schema: str, row) -> DataFrame:
-    """row(words, ranges) -> the values beyond doc_id and those of `schema`."""
-    texts = doc_texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    joined = texts.join(repeated_ranges(texts, width, grain), ["doc_id", "text_hash"], "left").select("doc_id", "text", "ranges")
-    kinds = {"long": pa.int64(), "string": pa.string()}
-    fields = [x.split() for x in schema.split(", ")]
+def _keyed(docs: DataFrame, *more) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"), *more)
 
-    def run(batches):
-        for part in (x for b in batches for x in text_slices(b)):
-            rows = []
-            for doc_id, text, ranges in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
-                words = text.encode().split()
-                keep = np.ones(len(words), bool)
-                for r in ranges or ():
-                    keep[r["from"] : r["to"] + width - 1] = False
-                rows.append((None if doc_id == NO_ID else doc_id, *row(text, words, keep)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, kinds[k]) for x, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
 
-    return joined.mapInArrow(run, schema)
+def keep_mask(words: list[bytes], ranges: list[dict] | None, width: int) -> np.ndarray:
+    keep = np.ones(len(words), bool)
+    for r in ranges or ():
+        keep[r["from"] : r["to"] + width - 1] = False
+    return keep
 
 
 def kept_words(words: list[bytes], keep: np.ndarray) -> bytes:
@@ -270,12 +260,40 @@ def kept_words(words: list[bytes], keep: np.ndarray) -> bytes:
 
 def substring_digests(docs: DataFrame, width: int = 50, grain: int = 8) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row of docs."""
-    row = lambda text, words, keep: (len(words), int((~keep).sum()), hashlib.sha256(kept_words(words, keep)).hexdigest())
-    return _cleaned(docs, width, grain, "doc_id long, n_words long, n_removed long, kept_sha256 string", row)
+    texts = _keyed(docs)
+    joined = texts.join(repeated_ranges(texts, width, grain), ["doc_id", "text_hash"], "left").select("doc_id", "text", "ranges")
+
+    def run(batches):
+        for part in (x for b in batches for x in text_slices(b)):
+            rows = []
+            for doc_id, text, ranges in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                words = text.encode().split()
+                keep = keep_mask(words, ranges, width)
+                rows.append((None if doc_id == NO_ID else doc_id, len(words), int((~keep).sum()), hashlib.sha256(kept_words(words, keep)).hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, grain: int = 8) -> DataFrame:
-    """doc_id, text, n_removed: each text without its repeated words. A text that loses none stays as it is; one that
+    """docs, all columns, where each text is without its repeated words: one that loses none stays as it is, one that
     does has its kept words joined by a space."""
-    row = lambda text, words, keep: (text if keep.all() else kept_words(words, keep).decode(), int((~keep).sum()))
-    return _cleaned(docs, width, grain, "doc_id long, text string, n_removed long", row)
+    texts = _keyed(docs, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    ranges = repeated_ranges(texts.drop("row"), width, grain)
+    joined = texts.join(ranges, ["doc_id", "text_hash"], "left").select("row.*", "ranges")
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            cleaned = []
+            for text, found in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True):
+                text = text.as_py()
+                if found.is_valid:
+                    words = text.encode().split()
+                    text = kept_words(words, keep_mask(words, found.as_py(), width)).decode()
+                cleaned.append(text)
+            columns = list(batch.columns)[:-1]
+            columns[at] = pa.array(cleaned, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    return joined.mapInArrow(run, docs.schema)
