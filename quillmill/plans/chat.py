@@ -61,8 +61,9 @@ def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _names(_messages(spark, sf_dir))
 
 
-@query(f"""WITH {SESSIONS} SELECT channel, session::BIGINT AS session, part::BIGINT AS part, '## Conversation in #' || channel || chr(10) || '**Participants:** ' || count(DISTINCT user_id) || ' users' || chr(10) || chr(10) ||
- string_agg('**' || {NAMES} || '** (' || strftime(ts, '%H:%M') || '): ' || coalesce(message, ''), chr(10) ORDER BY ts, id) AS text FROM g GROUP BY ALL""")
+@query(f"""WITH {SESSIONS}, n AS (SELECT *, {NAMES} AS name FROM g) SELECT channel, session::BIGINT AS session, part::BIGINT AS part,
+ '## Conversation in #' || channel || chr(10) || '**Participants:** ' || count(DISTINCT user_id) || ' users' || chr(10) || chr(10) ||
+ string_agg('**' || name || '** (' || strftime(ts, '%H:%M') || '): ' || coalesce(message, ''), chr(10) ORDER BY ts, id) AS text FROM n GROUP BY channel, session, part""")
 def conversation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = _messages(spark, sf_dir)
     return conversation.session_texts(conversation.sessions(messages), _names(messages))
