@@ -59,6 +59,22 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = worker_cache("malloc_trim", _find_trim)
+    if trim:
+        trim(0)
+
+
+def _find_trim():
+    import ctypes
+
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
+
 _loaded: dict = {}
 
 

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from quillmill.llm.common import load_tokenizer, worker_cache
+from quillmill.llm.common import give_back, load_tokenizer, worker_cache
 
 _WS = " \\t\\n\\r\\x0b\\x0c"
 #: White space beyond ASCII, or white space beside white space (RE2), or the mark below.
@@ -220,13 +220,15 @@ def encoder(path: str) -> TextEncoder:
     return worker_cache(("encoder", path), lambda: TextEncoder(path))
 
 
-def text_slices(batch: pa.RecordBatch, column: int = 1, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of about `most_bytes` of text, so that a worker's memory doesn't follow the batch size."""
+def text_slices(batch: pa.RecordBatch, column: int = 1, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about `most_bytes` of text, so that a worker's memory doesn't follow the batch size; what
+    was freed goes back to the system after each batch, as workers live on."""
     sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
     number = np.cumsum(sizes) // most_bytes
     for k in np.unique(number).tolist():
         at = np.flatnonzero(number == k)
         yield batch.slice(int(at[0]), len(at))
+    give_back()
 
 
 def in_groups(rows: Iterable[tuple], text_at: int, most_chars: int = 1 << 20) -> Iterator[list[tuple]]:

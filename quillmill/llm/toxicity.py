@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import doc_texts
+from quillmill.llm.common import doc_texts, give_back
 from quillmill.llm.tokens import batch_rows, in_groups
 
 _WORD = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
@@ -129,8 +129,14 @@ def training_sample(docs: DataFrame, labels: DataFrame, categories: dict[str, Co
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in group], pa.int64()), "found": pa.array([sorted(features(r[1])) for r in group], pa.list_(pa.binary()))} | {f"y_{k}": pa.array([r[2 + j] for r in group], pa.int32()) for j, k in enumerate(names)})
 
     sampled = rows.mapInArrow(run, ", ".join(["doc_id long", "found array<binary>", *(f"y_{k} int" for k in names)]))
-    held = sorted(sampled.toArrow().to_pylist(), key=lambda r: (r["doc_id"] * 2654435761 % (1 << 32), r["doc_id"]))
-    return [set(r["found"]) for r in held], {k: np.array([r[f"y_{k}"] for r in held], float) for k in names}
+    words: dict[bytes, bytes] = {}  # one object for each distinct word
+    held = []
+    for batch in sampled.toArrow().to_batches():
+        for doc_id, found, *y in batch_rows(batch):
+            held.append((doc_id * 2654435761 % (1 << 32), doc_id, {words.setdefault(f, f) for f in found}, y))
+    held.sort(key=lambda r: r[:2])
+    give_back()
+    return [r[2] for r in held], {k: np.array([r[3][j] for r in held], float) for j, k in enumerate(names)}
 
 
 def default_categories() -> dict[str, Column]:
