@@ -61,15 +61,15 @@ def related_by_category(docs: DataFrame, category: str, k: int = 10) -> DataFram
     return joined.select("doc_id", F.explode(F.slice(F.filter("ids", lambda x: x != F.col("doc_id")), 1, k)).alias("related_id"))
 
 
-def authority_connections(docs: DataFrame, threshold: float = 0.2, least: float = 0.8) -> DataFrame:
-    """Between classes of documents of equal key terms: class_id, authority_id, where the other class has a document
-    of more authority than `least` and the terms' similarity is at least the threshold."""
-    sets = duplicates.term_sets(docs).join(docs.select("doc_id", "authority"), "doc_id")
-    classes = sets.groupBy("terms").agg(F.min("doc_id").alias("item"), F.max("authority").alias("authority"))
-    pairs = duplicates.similar_classes(classes.select("item", "terms"), threshold)
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    strong = classes.where(F.col("authority") > least).select(F.col("item").alias("b"))
-    return both.join(strong, "b", "left_semi").select(F.col("a").alias("class_id"), F.col("b").alias("authority_id"))
+def authority_connections(docs: DataFrame, queries: DataFrame, threshold: float = 0.2, least: float = 0.8) -> DataFrame:
+    """For each query document how many classes of documents of equal key terms, with a document of more authority than
+    `least`, are at least this similar, and the most similar one."""
+    all_sets = duplicates.term_sets(docs)
+    classes = all_sets.join(docs.select("doc_id", "authority"), "doc_id").groupBy("terms").agg(F.min("doc_id").alias("item"), F.max("authority").alias("authority"))
+    asked = all_sets.join(queries.select("doc_id"), "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id")
+    found = duplicates.search_sets(classes.where(F.col("authority") > least).select("item", "terms"), asked, threshold, False, 1)
+    best = F.max_by("item", F.struct("similarity", (-F.col("item")).alias("_")))
+    return found.groupBy("query_id").agg(F.sum("n").alias("n_connections"), best.alias("nearest_id"))
 
 
 def savings(usage: DataFrame, factors: dict[str, float], as_of: Column, days: int = 30, last: int = 7) -> DataFrame:

@@ -6,6 +6,8 @@ are. Documents with equal sets are one class and are joined as one."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,11 +70,59 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, band: float = 0.3,
     return docs.select("doc_id").join(of.join(links, "class_id"), "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def related_topics(docs: DataFrame, threshold: float = 0.3, k: int = 10) -> DataFrame:
-    """Between classes of documents of equal key terms: class_id, related_id, similarity of the k most similar above
-    the threshold."""
-    classes = term_sets(docs).groupBy("terms").agg(F.min("doc_id").alias("item"))
-    pairs = similar_classes(classes, threshold, strict=True).withColumn("similarity", F.round("similarity", 6))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    w = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("a").alias("class_id"), F.col("b").alias("related_id"), "similarity", "rank")
+def search_sets(sets: DataFrame, queries: DataFrame, least: float, strict: bool, k: int, block: int = 1024, group: int = 16_384) -> DataFrame:
+    """sets (item, terms) x queries (query_id, terms) -> query_id, item, similarity, n, where n is how many items of the
+    row's group of sets pass the threshold; of each group the k most similar.
+
+    A stated query set against all sets: queries come in blocks, sets in groups; a block's term lists are counted
+    together for each set, so no pair is a row unless it is among a group's k best."""
+    sizes = (max(1, -(-queries.count() // block)), max(1, -(-sets.count() // group)))
+    gathered = lambda df, n, c, name: df.groupBy(F.pmod(F.xxhash64(c), F.lit(n)).alias("g")).agg(F.collect_list(F.struct(F.col(c).alias("id"), "terms")).alias(name))
+    met = gathered(sets, sizes[1], "item", "held").select("held").join(gathered(queries, sizes[0], "query_id", "asked").select("asked"))
+
+    def run(batches):
+        for batch in batches:
+            for held, asked in zip(batch.column(0), batch.column(1), strict=True):
+                held, asked = held.as_py(), asked.as_py()
+                lists: dict[str, list[int]] = {}
+                for q, row in enumerate(asked):
+                    for t in row["terms"]:
+                        lists.setdefault(t, []).append(q)
+                arrays = {t: np.array(v) for t, v in lists.items()}
+                q_size = np.array([len(r["terms"]) for r in asked])
+                found = []
+                for row in held:
+                    hit = [arrays[t] for t in row["terms"] if t in arrays]
+                    if hit:
+                        both = np.bincount(np.concatenate(hit), minlength=len(asked))
+                        alike = np.round(both / (q_size + len(row["terms"]) - both), 6)
+                        for q in np.flatnonzero(alike > least if strict else alike >= least).tolist():
+                            if asked[q]["id"] != row["id"]:
+                                found.append((q, -alike[q], row["id"]))
+                if not found:
+                    continue
+                table = np.array(found)
+                order = np.lexsort((table[:, 2], table[:, 1], table[:, 0]))
+                q = table[order, 0].astype(int)
+                begin = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+                n = np.diff(np.concatenate([begin, [len(q)]]))
+                at = np.arange(len(q)) - np.repeat(begin, n)
+                best = order[at < k]
+                ids = np.array([r["id"] for r in asked])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[table[best, 0].astype(int)]), pa.array([found[j][2] for j in best.tolist()], pa.int64()), pa.array(-table[best, 1]), pa.array(np.repeat(n, n)[at < k])],
+                    ["query_id", "item", "similarity", "n"],
+                )
+
+    return met.mapInArrow(run, "query_id long, item long, similarity double, n long")
+
+
+def related_topics(docs: DataFrame, queries: DataFrame, threshold: float = 0.3, k: int = 10) -> DataFrame:
+    """For each query document the k most similar classes of documents of equal key terms above the threshold; a class
+    is named by its smallest doc_id and may hold the query itself, which then is left out."""
+    sets = term_sets(docs)
+    classes = sets.groupBy("terms").agg(F.min("doc_id").alias("item"))
+    asked = sets.join(queries.select("doc_id"), "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id")
+    found = search_sets(classes, asked, threshold, True, k)
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("item").alias("related_id"), "similarity", "rank")
