@@ -83,8 +83,8 @@ def default_rules() -> dict[str, tuple[Column, Column]]:
     return {
         "length": (F.col("n_words") < 50, F.col("n_words") >= 100),
         "symbols": (_per("n_symbols", "n_words") > 0.1, _per("n_symbols", "n_words") < 0.02),
-        "repeated_lines": (_per("n_dup_lines", "n_lines") > 0.3, _per("n_dup_lines", "n_lines") < 0.05),
-        "repeated_windows": (_per("n_repeat_words", "n_words") > 0.3, _per("n_repeat_words", "n_words") < 0.1),
+        "repeated_lines": ((_per("n_dup_lines", "n_lines") > 0.3) & (F.col("n_dup_lines") >= 3), _per("n_dup_lines", "n_lines") < 0.05),
+        "repeated_windows": (_per("n_repeat_words", "n_words") > 0.45, _per("n_repeat_words", "n_words") < 0.1),
         "word_length": (~_per("word_chars", "n_words").between(2.5, 14), _per("word_chars", "n_words").between(3.5, 9)),
         "capitals": (_per("n_upper", "word_chars") > 0.3, _per("n_upper", "word_chars") < 0.1),
         "shouts": (_per("n_shouts", "n_words") > 0.2, _per("n_shouts", "n_words") < 0.02),

@@ -65,7 +65,7 @@ class Pool:
 class KnownPieces:
     """Ids by piece, kept within a Python worker. Beyond `most` pieces the older half goes; frequent ones are soon back."""
 
-    def __init__(self, dtype: str, most: int = 1_000_000):
+    def __init__(self, dtype: str, most: int = 500_000):
         self.dtype, self.most = dtype, most
         self.keys = pa.array([], pa.string())
         self.pool = Pool.of([], dtype)
