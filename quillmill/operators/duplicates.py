@@ -126,3 +126,44 @@ def related_topics(docs: DataFrame, queries: DataFrame, threshold: float = 0.3,
     found = search_sets(classes, asked, threshold, True, k)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("item").alias("related_id"), "similarity", "rank")
+
+
+def semantic_duplicates(docs: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """doc_id, class_id, n_links: cosine of idf-weighted key terms at or above the threshold.
+
+    Terms are in rare-first order and weights have length 1. Where a set's remaining weights are shorter than the
+    threshold, they alone cannot reach it; so two sets that do share a term before that place in both, and only those
+    terms are joined. Documents of equal sets are one class."""
+    sets = term_sets(docs)
+    n = sets.agg(F.count("*").alias("n"))  # one row
+    freq = sets.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))
+    weight = F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1
+    classes = sets.groupBy("terms").agg(F.min("doc_id").alias("item"), F.count("*").alias("size"))
+    each = classes.select("item", F.explode("terms").alias("term")).join(freq.select("term", "df", weight.alias("w")), "term")
+    ordered = each.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("df", "term", "w"))).alias("t"))
+    norm = F.sqrt(F.aggregate("t", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
+    unit = ordered.withColumn("norm", norm).select("item", F.transform("t", lambda x: F.struct(x["term"].alias("term"), (x["w"] / F.col("norm")).alias("w"))).alias("t"))
+    left = F.transform("t", lambda x, i: F.sqrt(F.aggregate(F.slice("t", i + 1, F.size("t")), F.lit(0.0), lambda s, y: s + y["w"] * y["w"])))
+    heads = unit.withColumn("left", left).select("item", "t", F.posexplode("t").alias("at", "head"), "left").where(F.get("left", F.col("at")) >= threshold - 1e-9).select("item", F.transform("t", lambda x: x["term"]).alias("terms"), F.map_from_entries("t").alias("w"), "head.term")
+    a, b = (heads.select(*[F.col(c).alias(f"{p}_{c}") for c in ("item", "terms", "w")], "term") for p in ("a", "b"))
+    met = a.join(b, "term").where((F.col("a_item") < F.col("b_item")) & (F.get(F.array_intersect("a_terms", "b_terms"), F.lit(0)) == F.col("term")))
+    cosine = F.aggregate(F.array_intersect("a_terms", "b_terms"), F.lit(0.0), lambda s, x: s + F.col("a_w")[x] * F.col("b_w")[x])
+    pairs = met.where(F.round(cosine, 9) >= threshold).select("a_item", "b_item")
+    both = pairs.unionByName(pairs.select(F.col("b_item").alias("a_item"), F.col("a_item").alias("b_item")))
+    others = both.join(classes.select(F.col("item").alias("b_item"), "size"), "b_item").groupBy(F.col("a_item").alias("item")).agg(F.sum("size").alias("others"))
+    links = classes.join(others, "item", "left").select("terms", F.col("item").alias("class_id"), (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+    found = sets.join(links, "terms").select("doc_id", "class_id", "n_links")
+    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def title_mentions(docs: DataFrame, titles: DataFrame, least: int = 10) -> DataFrame:
+    """doc_id, title_id of titles (title_id, title) longer than `least` that stand in a text as whole words, in a
+    document other than their own. Only texts that have a title's rarest word are looked at."""
+    low = titles.select("title_id", F.lower("title").alias("title")).where(F.length("title") > least)
+    own = low.select("title_id", "title", F.explode(F.array_distinct(T.tokens("title"))).alias("term"))
+    words = docs.select("doc_id", F.explode(F.array_distinct(T.tokens("text"))).alias("term"))
+    freq = words.join(own.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    rarest = own.join(freq, "term").groupBy("title_id", "title").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    near = words.join(rarest, "term").where("doc_id <> title_id").select("doc_id", "title_id", "title")
+    padded = lambda c: F.concat(F.lit(" "), F.array_join(T.tokens(c), " "), F.lit(" "))
+    return near.join(docs.select("doc_id", "text"), "doc_id").where(F.contains(padded("text"), padded("title"))).select("doc_id", "title_id")
