@@ -29,6 +29,23 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
 
 
+def _op2_sql() -> str:
+    held = license_scan.Templates()
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    places = [f"list_transform(list_filter(range(1, len(w) - {len(p.split()) - 2}), lambda i: w[i:i + {len(p.split()) - 1}] = {p.split()}), lambda i: {{'at': i - 1, 'label': '{label}'}})" for p, label in license_scan.BASE_PHRASES.items()]
+    rows = ", ".join(f"('{label}', {[held.words[t].decode() for t in ts]}, {stride})" for label, ts, stride in zip(held.labels, held.sets, held.stride, strict=True))
+    return f"""
+WITH d AS (SELECT doc_id, {words} AS w FROM documents), t AS (SELECT * FROM (VALUES {rows}) v(label, words, stride)),
+b AS (SELECT doc_id, len(w) AS n_words, flatten([{', '.join(places)}]) AS base FROM d),
+k AS (SELECT doc_id, label, words, list_distinct(w[k * stride + 1:k * stride + 2 * stride]) AS block FROM (SELECT doc_id, w, label, words, stride, unnest(range((len(w) + stride - 1) // stride)) AS k FROM d, t)),
+m AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS best FROM (SELECT doc_id, label, len(list_intersect(block, words)) / len(words) AS c FROM k) WHERE c >= 0.8 - 1e-9 GROUP BY 1)
+SELECT b.doc_id, n_words::BIGINT AS n_words, len(base)::BIGINT AS n_base, list_min(list_transform(base, lambda x: x.at)) AS first_word, list_max(list_transform(base, lambda x: x.at)) AS last_word,
+       array_to_string(list_sort(list_distinct(list_transform(base, lambda x: x.label))), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(list_transform(base, lambda x: x.label), coalesce(m.labels, [])))), ',') AS labels,
+       CASE WHEN len(base) > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
+FROM b LEFT JOIN m ON b.doc_id = m.doc_id"""
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.reject_toxic(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -118,4 +135,4 @@ QUERIES = {
     "op10_bpe": op10_bpe,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op4_chat_format": op4_chat_format, "op6_exact_dedup": op6_exact_dedup}
-ORACLES = {"op7_substring_dedup": OP7_SQL, "op4_chat_format": OP4_SQL, "op6_exact_dedup": OP6_SQL}
+ORACLES = {"op2_license_scan": _op2_sql(), "op7_substring_dedup": OP7_SQL, "op4_chat_format": OP4_SQL, "op6_exact_dedup": OP6_SQL}

@@ -236,7 +236,7 @@ def occurrences(docs: DataFrame, width: int, grain: int) -> DataFrame:
 def repeated_ranges(docs: DataFrame, width: int = 50, grain: int = 8) -> DataFrame:
     """docs (doc_id, text_hash, text) -> doc_id, text_hash, ranges: starts (from, to) of windows, counted in words, that
     also start in a document of smaller doc_id."""
-    found = written(count_windows(send(docs, width, grain, 8 * shuffle_width(docs.sparkSession)), width), "windows")
+    found = written(count_windows(send(docs, width, grain, 4 * shuffle_width(docs.sparkSession)), width), "windows")
     runs = F.filter("runs", lambda r: r["least"] < F.col("doc_id"))
     moved = F.transform(runs, lambda r: F.struct((r["from"] + F.col("start")).alias("from"), (r["to"] + F.col("start")).alias("to")))
     met = occurrences(docs, width, grain).join(found, ["key", "digest"]).select("doc_id", "text_hash", moved.alias("ranges")).where(F.size("ranges") > 0)
