@@ -27,15 +27,16 @@ def value_distribution(df: DataFrame, columns: list[str], most: int = 20) -> Dat
     return counts.where("value is not null").join(F.broadcast(per), "column").select("column", "value", "n", F.round(100 * F.col("n") / F.col("n_rows"), 6).alias("percent"))
 
 
-def numbered(df: DataFrame, order: list[str], bucket_rows: int = 100_000) -> DataFrame:
-    """df with row_no from 0 in this order. Rows are put in ranges; each range counts its own rows and is moved by how
-    many come before it, so no task holds all rows."""
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    inner = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    held = ranged.withColumn("_i", inner)
+def numbered(df: DataFrame, order: list[str], ranges: int = 64) -> DataFrame:
+    """df with row_no from 0 in this order, whose first column is a number. Approximate quantiles of that column, found
+    once, cut the rows into ranges; each range numbers its own rows and is moved by how many come before it, so no task
+    holds all rows and the cut is the same however often it is computed."""
+    cuts = df.agg(F.percentile_approx(order[0], [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []
+    held = df.withColumn("_p", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(order[0]))) if cuts else F.lit(0))
     sizes = held.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # a row for each range
-    return held.join(F.broadcast(before), "_p").withColumn("row_no", (F.col("_before") + F.col("_i")).cast("long")).drop("_p", "_i", "_before")
+    inner = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    return held.join(F.broadcast(before), "_p").withColumn("row_no", (F.col("_before") + inner).cast("long")).drop("_p", "_before")
 
 
 def row_chunks(rows: DataFrame, size: int = 20, overlap: int = 2) -> DataFrame:
