@@ -85,7 +85,7 @@ def current_load(calls: DataFrame, seconds: int = 60, last: int = 1000) -> DataF
     newest = calls.agg(F.max("ts").alias("now"))
     recent = calls.join(F.broadcast(newest)).where(F.unix_micros("ts") > F.unix_micros("now") - seconds * 1_000_000).agg((F.count("*") / seconds).alias("per_second"))
     tail = calls.orderBy(F.desc("ts"), F.desc("id")).limit(last)
-    shown = tail.agg(F.round(F.count_if("ok") / F.count("*"), 6).alias("success"), F.round(F.percentile("ms", F.lit(0.5)), 6).alias("median"), F.round(F.percentile("ms", F.lit(0.95)), 6).alias("p95"))
+    shown = tail.agg(F.round(F.try_divide(F.count_if("ok"), F.count("*")), 6).alias("success"), F.round(F.percentile("ms", F.lit(0.5)), 6).alias("median"), F.round(F.percentile("ms", F.lit(0.95)), 6).alias("p95"))
     return recent.crossJoin(shown).withColumn("per_second", F.round("per_second", 6))
 
 

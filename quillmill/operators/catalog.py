@@ -107,7 +107,7 @@ def citations(answer: Column, valid: Column) -> dict[str, Column]:
 
 
 def cache_key(query: Column, parameters: Column) -> Column:
-    return F.substring(F.sha2(F.concat_ws("|", F.lower(F.trim(query)), parameters), 256), 1, 16)
+    return F.substring(F.sha2(F.concat(F.lower(F.trim(F.coalesce(query, F.lit("")))), F.lit("|"), parameters), 256), 1, 16)
 
 
 def unexpired(cache: DataFrame, now: Column) -> DataFrame:

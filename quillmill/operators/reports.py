@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def context_text(sources: DataFrame) -> DataFrame:
     """sources (query_id, rank, key, snippet) -> query_id, text: one block per source in rank order, and a guide."""
-    block = F.concat(F.lit("["), F.col("key"), F.lit("]\n"), F.col("snippet"))
+    block = F.concat(F.lit("["), F.coalesce("key", F.lit("?")), F.lit("]\n"), F.coalesce("snippet", F.lit("")))
     gathered = sources.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))).alias("rows"))
     return gathered.select("query_id", F.concat(F.array_join(F.transform("rows", lambda r: r["block"]), "\n\n"), F.lit("\n\nCite sources by their key in brackets.")).alias("text"))
 

@@ -187,7 +187,7 @@ def citation_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.select("doc_id", facts["n_citations"].alias("n_citations"), facts["n_valid"].alias("n_valid"), F.round(facts["accuracy"], 6).alias("accuracy"))
 
 
-@query("SELECT item_id, substr(sha256(lower(trim(text)) || '|k=' || item_id % 5), 1, 16) AS cache_key FROM benchmark WHERE item_id % 7 > 2")
+@query("SELECT item_id, substr(sha256(lower(trim(coalesce(text, ''))) || '|k=' || item_id % 5), 1, 16) AS cache_key FROM benchmark WHERE item_id % 7 > 2")
 def result_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = table(spark, sf_dir, "benchmark").withColumn("expires_at", F.col("item_id") % 7)
     key = catalog.cache_key(F.col("text"), F.concat(F.lit("k="), (F.col("item_id") % 5).cast("string")))

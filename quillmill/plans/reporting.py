@@ -43,7 +43,7 @@ def explicit_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.title_mentions(table(spark, sf_dir, "documents"), titles)
 
 
-@query(f"""WITH {RANKED} SELECT query_id, string_agg('[' || source_id || ']' || chr(10) || snippet, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Cite sources by their key in brackets.' AS text FROM k WHERE rank <= 5 GROUP BY 1""")
+@query(f"""WITH {RANKED} SELECT query_id, string_agg('[' || coalesce(source_id, '?') || ']' || chr(10) || coalesce(snippet, ''), chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Cite sources by their key in brackets.' AS text FROM k WHERE rank <= 5 GROUP BY 1""")
 def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.context_text(source_ranking(spark, sf_dir).withColumn("key", F.col("source_id")))
 

@@ -81,7 +81,7 @@ gap AS (SELECT a.doc_id, min(abs(a.i - b.i) - 1)::DOUBLE AS g FROM pos a JOIN po
 near AS (SELECT doc_id, 0.5 * CASE WHEN g = 0 THEN 1.0 WHEN g <= 5 THEN 1 - g / 5 ELSE 0.1 END AS proximity FROM gap),
 b AS (SELECT doc_id, sum({PART}) AS bm25 FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY doc_id),
 cand AS (SELECT doc_id FROM b UNION SELECT doc_id FROM tf WHERE term = 'orin')
-SELECT doc_id, round(coalesce(bm25, 0), 6) AS bm25, coalesce(phrase, 0.0) AS phrase, round(coalesce(proximity, 0), 6) AS proximity,
+SELECT doc_id, round(coalesce(bm25, 0), 6) AS bm25, coalesce(phrase, 0)::DOUBLE AS phrase, round(coalesce(proximity, 0), 6) AS proximity,
        round(coalesce(bm25, 0) + coalesce(phrase, 0) + coalesce(proximity, 0), 6) AS score
 FROM cand LEFT JOIN b USING (doc_id) LEFT JOIN ph USING (doc_id) LEFT JOIN near USING (doc_id)
 WHERE coalesce(bm25, 0) + coalesce(phrase, 0) + coalesce(proximity, 0) > 0 ORDER BY score DESC, doc_id LIMIT 25
