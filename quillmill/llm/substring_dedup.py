@@ -133,43 +133,62 @@ def send(docs: DataFrame, width: int, grain: int, buckets: int) -> DataFrame:
 
 def shared_windows(lines: list[bytes], least: list[int], greatest: list[int], width: int) -> list[list[tuple[int, int, int]]]:
     """For each of these distinct super-k-mers of one minimiser, the runs (from, to, least doc_id) of its windows that
-    occur in more than one document."""
+    occur in more than one document.
+
+    Windows are sorted by hash, and within one hash told apart by their words; only the hash and place of a window are
+    kept, never its text, so a minimiser with very many or very long super-k-mers stays small in memory."""
     if len(lines) == 1:
         n = lines[0].count(b" ") + 2 - width
         return [[(0, n, least[0])] if least[0] < greatest[0] else []]
-    windows = []
-    for k, line in enumerate(lines):
-        ends, at = [], line.find(b" ")
-        while at >= 0:
-            ends.append(at)
-            at = line.find(b" ", at + 1)
-        ends.append(len(line))
-        begins = [0, *(e + 1 for e in ends)]
-        windows += [(line[begins[i] : ends[i + width - 1]], k, i) for i in range(len(ends) - width + 1)]
-    windows.sort()
-    found: list[list] = [[] for _ in lines]
-    a = 0
-    while a < len(windows):
-        b = a + 1
-        while b < len(windows) and windows[b][0] == windows[a][0]:
-            b += 1
-        owners = [k for _, k, _ in windows[a:b]]
-        low = min(least[k] for k in owners)
-        if low < max(greatest[k] for k in owners):
-            for _, k, i in windows[a:b]:
-                found[k].append((i, low))
-        a = b
-    return [_as_runs(sorted(f)) for f in found]
-
-
-def _as_runs(found: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    runs: list[list[int]] = []
-    for i, low in found:
-        if runs and runs[-1][1] == i and runs[-1][2] == low:
-            runs[-1][1] = i + 1
-        else:
-            runs.append([i, i + 1, low])
-    return [tuple(r) for r in runs]
+    ends = [np.append(np.flatnonzero(np.frombuffer(line, np.uint8) == 0x20), len(line)) for line in lines]
+    sizes = np.array([len(e) + 1 - width for e in ends])
+    owner = np.repeat(np.arange(len(lines)), sizes)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    digest = xxhash.xxh64_intdigest
+    hashes = np.empty(len(owner), np.uint64)
+    at = 0
+    for line, end, n in zip(lines, ends, sizes.tolist(), strict=True):
+        begins, stops = [0, *(end[: n - 1] + 1).tolist()], end[width - 1 :].tolist()
+        hashes[at : at + n] = [digest(line[x:y]) for x, y in zip(begins, stops, strict=True)]
+        at += n
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner, place = hashes[order], owner[order], place[order]
+    begin = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    stop = np.append(begin[1:], len(hashes))
+    low = np.minimum.reduceat(np.array(least)[owner], begin)
+    shared = np.flatnonzero(low < np.maximum.reduceat(np.array(greatest)[owner], begin))
+    kept, lows = np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
+
+    def text(j: int) -> bytes:
+        k, i = int(owner[j]), int(place[j])
+        return lines[k][ends[k][i - 1] + 1 if i else 0 : ends[k][i + width - 1]]
+
+    for x, y, m in zip(begin[shared].tolist(), stop[shared].tolist(), low[shared].tolist(), strict=True):
+        first = text(x)
+        if all(text(j) == first for j in range(x + 1, y)):
+            kept[x:y], lows[x:y] = True, m
+            continue
+        groups: dict[bytes, list[int]] = {}  # different windows of one hash
+        for j in range(x, y):
+            groups.setdefault(text(j), []).append(j)
+        for held in groups.values():
+            m = min(least[owner[j]] for j in held)
+            if m < max(greatest[owner[j]] for j in held):
+                kept[held], lows[held] = True, m
+    return _as_runs(owner[kept], place[kept], lows[kept], len(lines))
+
+
+def _as_runs(owner: np.ndarray, place: np.ndarray, low: np.ndarray, n: int) -> list[list[tuple[int, int, int]]]:
+    """Windows as runs of neighbours with the same least doc_id, for each of n owners."""
+    order = np.lexsort((place, owner))
+    owner, place, low = owner[order], place[order], low[order]
+    follows = (owner[1:] == owner[:-1]) & (place[1:] == place[:-1] + 1) & (low[1:] == low[:-1])
+    begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(owner)), bool), ~follows]))
+    last = np.append(begin[1:], len(owner))[: len(begin)] - 1
+    out: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
+    for k, x, y, m in zip(owner[begin].tolist(), place[begin].tolist(), place[last].tolist(), low[begin].tolist(), strict=True):
+        out[k].append((x, y + 1, m))
+    return out
 
 
 _RUNS = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64()), ("least", pa.int64())]))

@@ -292,6 +292,15 @@ def test_super_kmers_in_small_alphabets(docs_of, width, grain):
         assert got[d] == len(gone)
 
 
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    r = random.Random(6)
+    lines = sorted({" ".join(r.choice("abc") for _ in range(r.randrange(4, 12))).encode() for _ in range(30)})
+    least, greatest = list(range(30))[: len(lines)], [k + k % 2 for k in range(len(lines))]
+    want = substring_dedup.shared_windows(lines, least, greatest, 4)
+    monkeypatch.setattr(substring_dedup.xxhash, "xxh64_intdigest", lambda x, *a: len(x) % 2)
+    assert substring_dedup.shared_windows(lines, least, greatest, 4) == want
+
+
 def brute_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     if not words:
