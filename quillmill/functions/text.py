@@ -45,12 +45,12 @@ def tokens(c: Column | str) -> Column:
 
 def all_terms(c: Column | str, least: int = 2) -> Column:
     """Tokens of `least` and more letters a-z and nothing else, stop words included (for phrases and distances)."""
-    return F.filter(tokens(c), lambda x: x.rlike(f"^[a-z]{{{least},}}$"))
+    return F.filter(F.split(F.lower(text(c)), BREAK), lambda x: x.rlike(f"^[a-z]{{{least},}}$"))
 
 
 def terms(c: Column | str) -> Column:
     """The terms that the lexical index holds."""
-    return F.filter(all_terms(c), lambda x: ~x.isin(INDEX_STOPWORDS))
+    return F.filter(F.split(F.lower(text(c)), BREAK), lambda x: x.rlike("^[a-z]{2,}$") & ~x.isin(INDEX_STOPWORDS))
 
 
 def ranked_words(df: DataFrame, key: str, array: Column) -> DataFrame:
