@@ -65,7 +65,7 @@ class Pool:
 class KnownPieces:
     """Ids by piece, kept within a Python worker. Beyond `most` pieces the older half goes; frequent ones are soon back."""
 
-    def __init__(self, dtype: str, most: int = 500_000):
+    def __init__(self, dtype: str, most: int = 250_000):
         self.dtype, self.most = dtype, most
         self.keys = pa.array([], pa.string())
         self.pool = Pool.of([], dtype)
@@ -220,7 +220,7 @@ def encoder(path: str) -> TextEncoder:
     return worker_cache(("encoder", path), lambda: TextEncoder(path))
 
 
-def text_slices(batch: pa.RecordBatch, column: int = 1, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, column: int = 1, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in slices of about `most_bytes` of text, so that a worker's memory doesn't follow the batch size; what
     was freed goes back to the system after each batch, as workers live on."""
     sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
