@@ -40,18 +40,25 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return lanes.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(text: str, width: int = 4) -> int:
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """The hash of each run of `width` words, lower-cased; fewer words make one shingle, none make none."""
     words = text.encode().translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     n = max(1, len(words) - width + 1)
     starts = np.concatenate([[0], ends[: n - 1] + 1]).tolist()
     last = ends[min(width, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts, last, strict=True)], np.uint64)
-    bits = (2 * bit_counts(hashes) > n).astype(np.uint8)
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts, last, strict=True)], np.uint64)
+
+
+def fingerprint(text: str, width: int = 4) -> int:
+    hashes = shingle_hashes(text, width)
+    if not len(hashes):
+        return 0
+    bits = (2 * bit_counts(hashes) > len(hashes)).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 

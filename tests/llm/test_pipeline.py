@@ -50,3 +50,37 @@ def test_run_packs_what_stays(spark, corpus):
     packed = corpus_pipeline.run(spark, folder).collect()
     assert packed and all(r.length <= 2048 for r in packed)
     assert {r.doc_id for r in packed} & {3000, 4000}
+
+
+def _alike(a, b):
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_stage_finds_copies_at_080_to_095(spark, docs_of):
+    rows, r = [], random.Random(3)
+    for k in range(60):
+        words = prose(("base", k), 150 + 10 * k).split()
+        rows.append((k, " ".join(words)))
+        aim = r.uniform(0.8, 0.95)
+        while _alike(rows[k][1], " ".join(words)) > aim + 0.01:
+            words[r.randrange(len(words))] = f"other{r.random()}"
+        rows.append((1000 + k, " ".join(words)))
+    near = {k for k in range(60) if _alike(rows[2 * k][1], rows[2 * k + 1][1]) >= 0.8}
+    assert len(near) >= 50
+    far = [(2000 + k, " ".join(prose(("far", k // 2), 300).split()[: 200] + prose(("tail", k), 100).split())) for k in range(20)]
+    group = prose("group", 400).split()
+    crowd = [(3000 + k, " ".join(w if (k * 7 + j) % 97 else f"own{k}x{j}" for j, w in enumerate(group))) for k in range(97)]
+    kept = {x.doc_id for x in corpus_pipeline.simhash_stage(spark, docs_of(rows + far + crowd), "").collect()}
+    wanted = {k for k in range(60)} | {1000 + k for k in range(60) if k not in near} | {d for d, _ in far}
+    texts, left, parts = dict(crowd), set(dict(crowd)), set()
+    while left:
+        parts.add(min(left))
+        todo = [min(left)]
+        left.discard(todo[0])
+        while todo:
+            at = todo.pop()
+            step = {d for d in left if _alike(texts[at], texts[d]) >= 0.8}
+            left -= step
+            todo += step
+    assert kept == wanted | parts
