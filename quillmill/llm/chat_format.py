@@ -52,7 +52,8 @@ def _media_tokens(part: Column) -> Column:
 
 
 def visit_parts(content: Column) -> tuple[Column, Column]:
-    """The flattened body of a content column and its attachments (ordinal, kind, ref, tokens)."""
+    """The flattened body of a content column and its attachments (ordinal, kind, ref, tokens). A part's number counts
+    the attachments before it, so the cost follows the square of a message's parts, which are few."""
     parts = F.coalesce(content, F.array().cast(PARTS))
     media = F.filter(parts, _is_media)
     attachments = F.transform(media, lambda p, i: F.struct((i + 1).cast("int").alias("ordinal"), p["kind"].alias("kind"), p["ref"].alias("ref"), _media_tokens(p).alias("tokens")))
@@ -61,6 +62,19 @@ def visit_parts(content: Column) -> tuple[Column, Column]:
     return F.array_join(flat, ""), attachments
 
 
+def _running(sizes: Column, step: int = 128) -> Column:
+    """Where each of these sizes begins if they lie end to end. Sums of blocks of `step` first, then within each block, so
+    the cost stays near that of the sizes themselves for very long conversations."""
+    held = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731 - worked out once
+    plus = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda x, y: x + y)
+    block = lambda n, b: F.slice(n, b * step + 1, F.lit(step))
+    numbers = lambda n: F.sequence(F.lit(0), F.floor((F.size(n) - 1) / step).cast("int"))
+    sums = lambda n: F.transform(numbers(n), lambda b: plus(block(n, b)))
+    bases = lambda n: held(sums(n), lambda s: F.transform(s, lambda _, b: F.struct(b.alias("b"), plus(F.slice(s, F.lit(1), b)).alias("base"))))
+    inside = lambda n, x: held(block(n, x["b"]), lambda part: F.transform(part, lambda _, i: x["base"] + plus(F.slice(part, F.lit(1), i))))
+    return held(sizes, lambda n: F.flatten(F.transform(bases(n), lambda x: inside(n, x))))
+
+
 def format_conversations(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """messages (conv_id, turn, role, content: PARTS) -> one row per conversation: conv_id, n_turns, formatted, the
     loss mask (for each turn of a loss role: turn index, offset in the turn's segment, global start, length), attachments
@@ -72,9 +86,7 @@ def format_conversations(messages: DataFrame, loss_roles: tuple[str, ...] = ("as
     segment = F.concat(F.lit(START), F.col("shown"), F.lit("\n"), F.col("body"), F.lit(END))
     rows = F.array_sort(F.collect_list(F.struct("turn", "role", segment.alias("segment"), "head", "chars", F.length("body").alias("body_chars"), "attachments")))
     conv = turns.groupBy("conv_id").agg(rows.alias("rows"))
-    # the start of each turn: one running sum over the turns' lengths
-    ends = F.aggregate("rows", F.array(F.lit(0).cast("long")), lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) + r["chars"])))
-    conv = conv.withColumn("starts", ends)
+    conv = conv.withColumn("starts", _running(F.transform("rows", lambda r: r["chars"].cast("long"))))
     marked = F.zip_with(F.sequence(F.lit(0), F.size("rows") - 1), F.col("rows"), lambda i, r: F.struct(i.alias("i"), r.alias("r")))
     mask = F.transform(F.filter(marked, lambda x: x["r"]["role"].isin(*loss_roles)), lambda x: F.struct(x["i"].alias("turn_index"), x["r"]["head"].alias("offset"), (F.get("starts", x["i"]) + x["r"]["head"]).alias("start"), x["r"]["body_chars"].alias("length")))
     files = F.flatten(F.transform(marked, lambda x: F.transform(x["r"]["attachments"], lambda a: F.struct(x["i"].alias("turn_index"), a["ordinal"].alias("ordinal"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))))

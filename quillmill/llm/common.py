@@ -6,19 +6,22 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a null doc_id while rows are compared; it is turned back into null in results.
+#: What a null doc_id counts as where ids are compared by size alone; it stays null in results.
 NO_ID = 2**63 - 1
 
-_scratch: list[str] = []
+_scratch: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master (tests, one
+    machine) gets a folder of its own; on a cluster that would lie on each machine's own disk, so it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share: intermediate tables are written there")
         folder = "file://" + tempfile.mkdtemp(prefix="quillmill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -26,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/quillmill/{name}-{uuid.uuid4().hex}"
-    _scratch.append(path)
+    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 
@@ -45,9 +48,44 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def release_scratch(spark: SparkSession) -> None:
-    """Deletes the scratch tables made so far. Call it only when results that read them have been written."""
-    while _scratch:
-        delete_path(spark, _scratch.pop())
+    """Deletes this application's scratch tables made so far. Call it only when results that read them are written."""
+    held = _scratch.get(spark.sparkContext.applicationId, [])
+    while held:
+        delete_path(spark, held.pop())
+
+
+def ordered_id(*more: str) -> Column:
+    """doc_id as a struct (none, id, ...) to be compared: a null doc_id comes after every other one."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), *more)
+
+
+def text_key(docs: DataFrame) -> Column:
+    """Stands for a row's text where rows are told apart."""
+    return F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256))
+
+
+def has_repeats(rows: DataFrame) -> bool:
+    """Whether any (doc_id, key) occurs more than once."""
+    return not rows.groupBy("doc_id", "key").count().where("count > 1").isEmpty()
+
+
+def new_name(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have, whatever the case."""
+    held = {c.lower() for c in docs.columns}
+    while name in held:
+        name = f"_{name}"
+    return name
+
+
+def rows_that_stay(docs: DataFrame, stay: DataFrame, key: Column, repeated: bool) -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id and key are in stay (id, key). repeated: some of these
+    occur more than once, and one row of each stays."""
+    mark, held_id, held_key = (new_name(docs, c) for c in ("row_key", "held_id", "held_key"))
+    marked = docs.select("*", key.alias(mark))
+    if repeated:
+        marked = marked.dropDuplicates([c for c in docs.columns if c.lower() == "doc_id"] + [mark])
+    held = stay.select(F.col("id").alias(held_id), F.col("key").alias(held_key))
+    return marked.join(held, F.col("doc_id").eqNullSafe(F.col(held_id)) & (F.col(mark) == F.col(held_key)), "left_semi").drop(mark)
 
 
 def doc_texts(docs: DataFrame, *more: str) -> DataFrame:

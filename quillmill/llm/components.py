@@ -39,21 +39,33 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every task first reduces its edges to a forest. Then large-star and small-star rounds (each node's neighbours are
     linked to the least of them) run as joins until no edge changes; what is left are stars around the smallest nodes.
-    No edge comes to the driver, only counts do."""
+    A node with very many neighbours is no task of its own: each node's least neighbour is found by a pre-aggregated
+    groupBy and written, so that edges meet it in a join whose skewed partitions Spark splits. No edge comes to the
+    driver, only counts do. Defined results: no edges give no rows; loops and repeated edges don't count; a null end is
+    no edge."""
     reduced = edges.select("a", "b").where("a <> b").mapInArrow(_forest_of_task, "a long, b long")
     now = written(reduced.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
         # large star: neighbours above a node go to the least node around it
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         # small star: a node and its lower neighbours go to the least of these
-        down = large.distinct()
-        lowest = down.groupBy("a").agg(F.min("b").alias("m"))
+        down = written(large.distinct(), "down")
+        lowest = written(down.groupBy("a").agg(F.min("b").alias("m")), "lowest")
         small = down.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lowest.select("a", F.col("m").alias("b")))
         now = written(small.where("a <> b").distinct(), "edges")
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before = state
+
+
+def first_of_each(items: DataFrame, roots: DataFrame) -> DataFrame:
+    """items (node, least: a struct to compare), roots (of components) -> node, first: the least of the node's component.
+    A component's least is found by a pre-aggregated groupBy and written, so a big component is joined by skew splits."""
+    component = F.coalesce("component", "node").alias("component")
+    classes = written(items.join(roots, "node", "left").select("node", "least", component), "classes")
+    first = written(classes.groupBy("component").agg(F.min("least").alias("first")), "first")
+    return classes.join(first, "component").select("node", "first")

@@ -8,6 +8,12 @@ share one in their prefixes; pairs are then held against the length filter (a bl
 positional filter (what can still match beyond the shared word) and at last the exact overlap. Words of no template
 cannot match and are left out of blocks from the start.
 
+Some templates are nearly part of others (a Creative Commons notice has almost the words of its sister notices), so one
+notice matches several. Of matches in overlapping blocks, one is set aside if another label's template shares enough of
+its words to explain it and fits better: a greater containment, or as great a one with more words. A match that is whole
+and has words the other template lacks is never set aside. What is left gives the labels. Two notices of one family
+within a block of each other can't be told from the larger one alone where all words of the smaller are in it.
+
 Defined results: a null text has no words; repeated rows are scanned each; score is the best containment of a template
 found, 1 with a base phrase, 0 with neither; an empty table gives an empty result; other columns are unread.
 """
@@ -122,7 +128,7 @@ def scan_texts(docs: DataFrame, templates: Templates, phrases: dict[str, str]) -
 
 
 def join_templates(scanned: DataFrame, templates: Templates) -> DataFrame:
-    """uid, label, template, stride, block, containment of every block that holds a template."""
+    """uid, label, template, stride, block, common (words), containment of every block that holds a template."""
     spark = scanned.sparkSession
     blocks = scanned.select("uid", F.explode("blocks").alias("b")).select("uid", "b.stride", "b.block", "b.tokens")
     # as many rows as the templates have words
@@ -144,16 +150,37 @@ def join_templates(scanned: DataFrame, templates: Templates) -> DataFrame:
     pairs = heads.join(F.broadcast(prefix), ["stride", "rank"]).where((F.col("size") >= F.col("need")) & (1 + F.least(F.col("t_size") - F.col("t_at"), F.col("size") - F.col("b_at")) - 1 >= F.col("need")))
     pairs = pairs.dropDuplicates(["uid", "stride", "block", "template"]).join(F.broadcast(whole_sets), "template")
     both = F.size(F.array_intersect("ranks", "t_ranks"))
-    return pairs.where(both >= F.col("need")).select("uid", "label", "template", "stride", "block", (both / F.col("t_size")).alias("containment"))
+    return pairs.where(both >= F.col("need")).select("uid", "label", "template", "stride", "block", both.alias("common"), (both / F.col("t_size")).alias("containment"))
+
+
+def best_matches(found: DataFrame, templates: Templates) -> DataFrame:
+    """The matches (of join_templates) that no better one explains."""
+    sizes = [len(s) for s in templates.sets]
+    shared = [(a, b, len(set(x) & set(y)), sizes[a], sizes[b]) for a, x in enumerate(templates.sets) for b, y in enumerate(templates.sets)]
+    rivals = [r for r in shared if templates.labels[r[0]] != templates.labels[r[1]] and r[2] >= templates.need[r[0]]]
+    if not rivals:
+        return found
+    # as many rows as templates have near relatives
+    pairs = F.broadcast(found.sparkSession.createDataFrame(rivals, "template int, other int, shared int, size int, o_size int"))
+    widest = 2 * max(templates.classes)
+    placed = found.select("uid", "template", "common", (F.col("block") * F.col("stride")).alias("low"), ((F.col("block") + 2) * F.col("stride")).alias("high"), "stride", "block")
+    cells = placed.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / widest), F.floor((F.col("high") - 1) / widest))))
+    other = cells.select("uid", "cell", *[F.col(c).alias(f"o_{c}") for c in ("common", "low", "high")], F.col("template").alias("other"))
+    met = cells.join(pairs, "template").join(other, ["uid", "cell", "other"]).where((F.col("low") < F.col("o_high")) & (F.col("o_low") < F.col("high")))
+    share, o_share = F.col("common") * F.col("o_size"), F.col("o_common") * F.col("size")
+    better = (o_share > share) | ((o_share == share) & (F.col("o_common") > F.col("common")))
+    whole = (F.col("common") == F.col("size")) & (F.col("shared") < F.col("size"))
+    aside = met.where(better & ~whole).select("uid", "template", "stride", "block").distinct()
+    return found.join(aside, ["uid", "template", "stride", "block"], "left_anti")
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8, phrases: dict[str, str] = BASE_PHRASES) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, base (places and labels), matches (label, template, stride, block,
-    containment), labels (distinct, sorted), score."""
+    """One row per row of docs: doc_id, n_words, base (places and labels), matches (label, template, first_word,
+    block_words, containment) that no better one explains, base_labels, labels (distinct, sorted), score."""
     held = Templates(templates, threshold)
     scanned = written(scan_texts(docs, held, phrases), "blocks")
     match = F.struct("label", "template", (F.col("block") * F.col("stride")).alias("first_word"), (2 * F.col("stride")).alias("block_words"), "containment")
-    found = join_templates(scanned, held).groupBy("uid").agg(F.array_sort(F.collect_list(match)).alias("matches"))
+    found = best_matches(written(join_templates(scanned, held), "matches"), held).groupBy("uid").agg(F.array_sort(F.collect_list(match)).alias("matches"))
     joined = scanned.select("uid", "doc_id", "n_words", "base").join(found, "uid", "left")
     of = lambda c: F.coalesce(F.transform(c, lambda x: x["label"]), F.array().cast("array<string>"))
     best = F.array_max(F.transform("matches", lambda m: m["containment"]))

@@ -1,9 +1,14 @@
-"""Near copies: texts whose sets of word shingles have a Jaccard similarity of `threshold` or more.
-
-Candidates come from minwise hashing: 32 cells of 5 minima each, so a pair of similarity s shares a cell with probability
-1 - (1 - s^5)^32 (1 - 3e-6 at 0.8). A SimHash radius cannot be this stage's grid: at 0.8 a bit of 64 differs with
-probability 0.15, so 13 and more bits are common, and no cell that such a pair shares is selective. Candidates are held
-against the exact Jaccard similarity of their shingles (as 64-bit hashes). Texts of equal shingle sets go as one.
+"""Near copies: texts whose sets of word shingles have a Jaccard similarity of `threshold` or more, by SimHash with a
+candidate search of its own.
+
+At a similarity of 0.8 a SimHash bit differs with probability 0.15: of 64 bits 10 differ on average and up to 20 in one
+pair of ten thousand. So the radius is 20 bits here, and the grid of simhash.py, which finds all pairs within 4 bits, is no
+candidate search for it: at 20 bits no choice of segments must agree, and cells of segment counts that find 99 percent of
+such pairs would take about 270 places a document (a segment of two bits agrees with probability 0.73 against 0.375 by
+chance). Candidates come from minwise hashing instead, 32 cells of 5 minima each: a pair of similarity s shares a cell with
+probability 1 - (1 - s^5)^32 (1 - 3e-6 at 0.8). Candidates are held against the segments' Manhattan bound and the Hamming
+radius of their fingerprints (sets of fewer than 64 shingles, whose fingerprints are too rough, pass), then against the
+exact Jaccard similarity of their shingles (as 64-bit hashes). Texts of equal shingle sets go as one.
 
 Only what connects the texts is worked out, not all pairs. First each cell's members are verified along a chain, in an
 order of the cell's own, so that a text meets few others and a big group of near copies is joined by its many chains.
@@ -11,7 +16,8 @@ Then, among all texts that met any other, pairs not yet in one component that sh
 (the prefix filter, which no pair at the threshold escapes) are verified, so the components are those of all candidates.
 
 Defined results: a null text has no words and an empty set, and all such are copies; fewer words than a shingle make one
-shingle; a null doc_id sorts after every other one; an empty table gives an empty result.
+shingle; a null doc_id sorts after every other one; rows of equal doc_id and text share their verdict (keep_one keeps one
+of them); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,12 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import NO_ID, doc_texts, written
-from quillmill.llm.components import components
-from quillmill.llm.simhash import SEED, shingle_hashes
+from quillmill.llm.common import doc_texts, has_repeats, ordered_id, rows_that_stay, text_key, written
+from quillmill.llm.components import components, first_of_each
+from quillmill.llm.simhash import SEED, majority, shingle_hashes
 from quillmill.llm.tokens import text_slices
 
 BANDS, ROWS = 32, 5
+#: Bits by which fingerprints of alike texts may differ, and the least shingles for which that is asked.
+RADIUS, ROUGH = 20, 64
 _FACTORS = np.random.default_rng(SEED).integers(1 << 62, dtype=np.uint64, size=(BANDS * ROWS, 1)) * np.uint64(2) + np.uint64(1)
 
 
@@ -48,29 +56,25 @@ def sketch(held: np.ndarray, block: int = 2048) -> list[int]:
     return [xxhash.xxh3_64_intdigest(x.tobytes(), band) for band, x in enumerate(least.reshape(BANDS, ROWS))]
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return doc_texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-
-
 def _signed(values) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, item (digest of the shingle set), n (its size), cells."""
+    """doc_id, key, item (digest of the shingle set), n (its size), fp (its fingerprint), cells."""
 
     def run(batches):
         for part in (x for b in batches for x in text_slices(b)):
             held = [shingle_set(t.as_py(), width) for t in part.column(1)]
             cells = [sketch(h) if len(h) else [] for h in held]
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, cells)]).astype(np.int32), _signed([c for x in cells for c in x]))
-            yield pa.RecordBatch.from_arrays([part.column(0), _signed([digest(h) for h in held]), pa.array([len(h) for h in held], pa.int64()), lists], ["doc_id", "item", "n", "cells"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), _signed([digest(h) for h in held]), pa.array([len(h) for h in held], pa.int64()), _signed([majority(h) for h in held]), lists], ["doc_id", "key", "item", "n", "fp", "cells"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, item long, n long, cells array<long>")
+    return doc_texts(docs, text_key(docs).alias("key")).mapInArrow(run, "doc_id long, key binary, item long, n long, fp long, cells array<long>")
 
 
 def sets(docs: DataFrame, width: int) -> DataFrame:
-    """item, shingles: one row per distinct set."""
+    """docs (doc_id, text) -> item, shingles: one row per distinct set."""
 
     def run(batches):
         for part in (x for b in batches for x in text_slices(b)):
@@ -78,7 +82,7 @@ def sets(docs: DataFrame, width: int) -> DataFrame:
                 held = shingle_set(t.as_py(), width)
                 yield pa.RecordBatch.from_arrays([_signed([digest(held)]), pa.array([held.view(np.int64)], pa.list_(pa.int64()))], ["item", "shingles"])
 
-    return _texts(docs).mapInArrow(run, "item long, shingles array<long>").groupBy("item").agg(F.first("shingles").alias("shingles"))
+    return docs.mapInArrow(run, "item long, shingles array<long>").groupBy("item").agg(F.first("shingles").alias("shingles"))
 
 
 def _chains(batches):
@@ -100,17 +104,14 @@ def alike(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
 
 
 def links(docs: DataFrame, items: DataFrame, width: int, threshold: float) -> DataFrame:
-    """items (item, first_id, n, cells) -> node, component, as all candidate pairs at or above the threshold connect."""
-    cells = items.select(F.explode("cells").alias("cell"), "item", "n")
+    """items (node, least, n, fp, cells) -> node, component, as all candidate pairs at or above the threshold connect."""
+    cells = items.select(F.explode("cells").alias("cell"), F.col("node").alias("item"))
     order = cells.repartition("cell").sortWithinPartitions("cell", F.xxhash64("cell", "item")).select("cell", "item")
     chained = written(order.mapInArrow(_chains, "a long, b long").distinct(), "chains")
     met = chained.select(F.col("a").alias("item")).unionByName(chained.select(F.col("b").alias("item"))).distinct()
-    first = items.join(met, "item", "left_semi").select(F.col("first_id").alias("doc_id"))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    held = written(sets(keyed.join(first, "doc_id", "left_semi"), width), "shingle_sets")
-    sized = items.select("item", "n")
-    size = lambda pairs: pairs.join(sized.withColumnsRenamed({"item": "a", "n": "n_a"}), "a").join(sized.withColumnsRenamed({"item": "b", "n": "n_b"}), "b").where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9).select("a", "b")
-    found = written(alike(size(chained), held, threshold), "near_pairs")
+    first = items.join(met, F.col("node") == F.col("item"), "left_semi").select("least.id", "least.key")
+    held = written(sets(rows_that_stay(docs, first, text_key(docs), False).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), width), "shingle_sets")
+    found = written(alike(_within(chained, items, threshold), held, threshold), "near_pairs")
     roots = components(found)
     # what lies in different components meets where both have a shingle among their rarest
     freq = held.select(F.explode("shingles").alias("x")).groupBy("x").agg(F.count("*").alias("df"))
@@ -119,30 +120,41 @@ def links(docs: DataFrame, items: DataFrame, width: int, threshold: float) -> Da
     ordered = each.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("t"))
     heads = ordered.select("item", n.alias("n"), F.posexplode(F.slice("t", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)).alias("at", "h")).where("h.df > 1").select("item", "n", (F.col("n") - F.col("at")).alias("left"), "h.x")
     of = written(heads.join(roots.withColumnRenamed("node", "item"), "item", "left").withColumn("component", F.coalesce("component", "item")), "heads")
-    mixed = of.groupBy("x").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("x")
+    mixed = written(of.groupBy("x").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("x"), "mixed")
     open_heads = of.join(mixed, "x")
     a, b = (open_heads.select("x", *[F.col(c).alias(f"{c}_{s}") for c in ("item", "n", "left", "component")]) for s in "ab")
     # at the first shingle that both share, no more than what is left of either from there on is common
     enough = F.least("left_a", "left_b") * (1 + threshold) >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-9
     across = a.join(b, "x").where((F.col("item_a") < F.col("item_b")) & (F.col("component_a") != F.col("component_b")) & enough)
     rest = written(across.select(F.col("item_a").alias("a"), F.col("item_b").alias("b")).distinct().join(chained, ["a", "b"], "left_anti"), "across")
-    more = written(alike(rest, held, threshold), "near_pairs")
+    more = written(alike(_within(rest, items, threshold), held, threshold), "near_pairs")
     return roots if more.isEmpty() else components(found.unionByName(more))
 
 
+def _within(pairs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that sizes and fingerprints allow."""
+    side = lambda c: items.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("fp").alias(f"fp_{c}"))
+    sizes = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
+    # the Hamming distance of two segments is at least the difference of their counts, so it decides in one step here
+    near = (F.least("n_a", "n_b") < ROUGH) | (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= RADIUS)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(sizes & near).select("a", "b")
+
+
+def _firsts(docs: DataFrame, rows: DataFrame, width: int, threshold: float) -> DataFrame:
+    """rows (of sketches) -> node (item), first (none, id, key): the least row of the item's component."""
+    items = written(rows.groupBy(F.col("item").alias("node")).agg(F.min(ordered_id("key")).alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("cells").alias("cells")), "items")
+    return first_of_each(items, links(docs, items, width, threshold))
+
+
 def near_copies(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row per row of docs: doc_id, component_id (smallest doc_id reachable)."""
     rows = written(sketches(docs, width), "sketches")
-    items = written(rows.groupBy("item").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("cells").alias("cells")), "items")
-    roots = links(docs, items, width, threshold)
-    classes = items.select("item", "first_id").join(roots.withColumnRenamed("node", "item"), "item", "left").withColumn("component", F.coalesce("component", "item"))
-    least = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    members = classes.join(least, "component").select("item", "component_id")
-    null_back = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c)
-    return rows.select("doc_id", "item").join(members, "item").select(null_back("doc_id"), null_back("component_id"))
+    members = _firsts(docs, rows, width, threshold).select(F.col("node").alias("item"), F.col("first.id").alias("component_id"))
+    return rows.select("doc_id", "item").join(members, "item").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of docs, with all their columns, of each component's smallest doc_id."""
-    stay = near_copies(docs, width, threshold).where("doc_id <=> component_id").select(F.col("doc_id").alias("_stay_id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_stay_id")), "left_semi")
+    """The rows of docs, with all their columns, that are the first of their component by doc_id and text."""
+    rows = written(sketches(docs, width), "sketches")
+    stay = written(_firsts(docs, rows, width, threshold).select("first.*").distinct(), "stay")
+    return rows_that_stay(docs, stay, text_key(docs), has_repeats(rows))

@@ -1,7 +1,8 @@
 """Best-fit packing of token sequences, certified by lower bounds.
 
 Documents are cut into pieces of at most `capacity` tokens (only longer ones, the first piece may be shorter). Pieces
-are dealt by hash into partitions of about `per_part` and packed best-fit decreasing in each. Dual feasible functions
+are dealt by the hash of a row number (`uid`; equal or missing doc_ids are spread as others are) into partitions of about
+`per_part` and packed best-fit decreasing in each. Dual feasible functions
 over a partition's lengths give a number of sequences below which no packing can go; a partition that meets it is
 certified and stays. The others exchange their pieces (they are dealt anew among themselves) and are packed again; a
 round's result is taken if it needs fewer sequences than those partitions had.
@@ -17,13 +18,14 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import doc_texts, written
 from quillmill.llm.tokens import encoder, text_slices
 
-_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def cut_lengths(total: int, capacity: int) -> list[int]:
@@ -33,18 +35,18 @@ def cut_lengths(total: int, capacity: int) -> list[int]:
 
 
 def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece."""
+    """uid, doc_id, piece, start, length, ids_crc32 of every piece; uid (task and place) holds once the rows are written."""
 
     def run(batches):
-        coder = encoder(tokenizer_path)
+        coder, uid = encoder(tokenizer_path), TaskContext.get().partitionId() << 40
         for part in (x for b in batches for x in text_slices(b)):
             rows = []
             for doc_id, ids in zip(part.column(0).to_pylist(), coder.encode_each(part.column(1)), strict=True):
                 ids, start = np.append(ids, end_id).astype("<u4"), 0
                 for k, n in enumerate(cut_lengths(len(ids), capacity)):
-                    rows.append((doc_id, k, start, n, zlib.crc32(ids[start : start + n].tobytes())))
-                    start += n
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows.append((uid, doc_id, k, start, n, zlib.crc32(ids[start : start + n].tobytes())))
+                    start, uid = start + n, uid + 1
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
 
     return doc_texts(docs).mapInArrow(run, _PIECES)
 
@@ -100,6 +102,8 @@ def _pack_parts(items: DataFrame, capacity: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         lengths = table.column("length").to_numpy()
         bins, offsets, n = best_fit_decreasing(lengths, capacity)
+        if n > 1 << 20:
+            raise ValueError("a partition has more sequences than sequence_id has room for: lower per_part")
         for name, values in (("bin", bins), ("offset", offsets), ("n_bins", np.full(len(lengths), n)), ("bound", np.full(len(lengths), lower_bound(lengths, capacity)))):
             table = table.append_column(name, pa.array(values, pa.int64()))
         return table
@@ -108,11 +112,11 @@ def _pack_parts(items: DataFrame, capacity: int) -> DataFrame:
 
 
 def _dealt(items: DataFrame, parts: int, seed: int) -> DataFrame:
-    return items.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.lit(seed)), F.lit(parts)) + F.lit(seed << 40))
+    return items.withColumn("part", F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(parts)) + F.lit(seed << 40))
 
 
 def pack(pieces: DataFrame, capacity: int, per_part: int = 50_000, rounds: int = 3) -> DataFrame:
-    """pieces (doc_id, piece, start, length, ids_crc32) with sequence_id, offset, and certified: whether the piece's
+    """pieces (uid, doc_id, piece, start, length, ids_crc32) with sequence_id, offset, and certified: whether the piece's
     partition met its bound. A partition has about per_part pieces whatever the input's size."""
     parts = lambda size: max(1, math.ceil(size / per_part))
     now = written(_pack_parts(_dealt(pieces, parts(pieces.count()), 0), capacity), "packed-0")
@@ -134,7 +138,7 @@ def pack(pieces: DataFrame, capacity: int, per_part: int = 50_000, rounds: int =
     for part in done:
         now = now.unionByName(part)
     sequence = (F.col("part") * (1 << 20) + F.col("bin")).alias("sequence_id")
-    return now.select(*pieces.columns, sequence, "offset", (F.col("n_bins") <= F.col("bound")).alias("certified"))
+    return now.select(*pieces.drop("uid").columns, sequence, "offset", (F.col("n_bins") <= F.col("bound")).alias("certified"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, per_part: int = 50_000) -> DataFrame:

@@ -6,6 +6,12 @@ a document is kept if its posterior probability of being good is at least a half
 are counted by their pattern first, so estimation works on at most 3 ** rules rows, whatever the number of documents;
 those are also the only rows that reach the driver or are broadcast.
 
+Without labels a rule can only be believed as far as other rules' votes depend on its own: where its bad votes go with
+another rule's, or keep clear of them more than chance would, it gets a kind of bad documents of its own; a rule whose bad
+votes are spread over documents regardless of all others is noise, its rate of false alarms is estimated and its votes
+count for nothing. A fault that one rule alone sees, quite independent of the others, can't be told from such noise and
+is not rejected.
+
 Defined results: a null text has no words; documents without words abstain from every rule but length; repeated rows
 are judged each; an empty table gives an empty result; other columns are unread.
 """
@@ -79,13 +85,15 @@ def _per(count: str, whole: str) -> Column:
 
 
 def default_rules() -> dict[str, tuple[Column, Column]]:
-    """(votes bad, votes good) of each rule; bad wins where both hold, neither is an abstention."""
+    """(votes bad, votes good) of each rule; bad wins where both hold, neither is an abstention. Length, symbols per word,
+    duplicate lines and mean word length have the bounds published for filters of web text; the others are round numbers
+    chosen without labels."""
     return {
         "length": (F.col("n_words") < 50, F.col("n_words") >= 100),
         "symbols": (_per("n_symbols", "n_words") > 0.1, _per("n_symbols", "n_words") < 0.02),
-        "repeated_lines": ((_per("n_dup_lines", "n_lines") > 0.3) & (F.col("n_dup_lines") >= 3), _per("n_dup_lines", "n_lines") < 0.05),
-        "repeated_windows": (_per("n_repeat_words", "n_words") > 0.45, _per("n_repeat_words", "n_words") < 0.1),
-        "word_length": (~_per("word_chars", "n_words").between(2.5, 14), _per("word_chars", "n_words").between(3.5, 9)),
+        "repeated_lines": (_per("n_dup_lines", "n_lines") > 0.3, _per("n_dup_lines", "n_lines") < 0.05),
+        "repeated_windows": (_per("n_repeat_words", "n_words") > 0.3, _per("n_repeat_words", "n_words") < 0.1),
+        "word_length": (~_per("word_chars", "n_words").between(3, 10), _per("word_chars", "n_words").between(3.5, 9)),
         "capitals": (_per("n_upper", "word_chars") > 0.3, _per("n_upper", "word_chars") < 0.1),
         "shouts": (_per("n_shouts", "n_words") > 0.2, _per("n_shouts", "n_words") < 0.02),
         "ended_lines": (_per("n_ended_lines", "n_lines") < 0.1, _per("n_ended_lines", "n_lines") > 0.6),
@@ -98,33 +106,56 @@ def vote(counts: DataFrame, rules: dict[str, tuple[Column, Column]]) -> DataFram
     return counts.select("*", *[F.when(bad & (has_words | F.lit(k == "length")), -1).when(good & has_words, 1).otherwise(0).alias(f"vote_{k}") for k, (bad, good) in rules.items()])
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
+def depends(patterns: np.ndarray, counts: np.ndarray, least_z: float = 4.0, lift: float = 1.5) -> np.ndarray:
+    """Which rules' bad votes depend on some other rule's: where both vote, bad votes of both meet `lift` times as often
+    as chance has it, or that much more seldom, and by `least_z` standard errors."""
+    bad, voted = patterns < 0, patterns != 0
+    out = np.zeros(patterns.shape[1], bool)
+    for r in range(len(out)):
+        for j in range(len(out)):
+            both = voted[:, r] & voted[:, j]
+            n = counts[both].sum()
+            if r == j or not n:
+                continue
+            a, b, ab = (counts[both & x].sum() for x in (bad[:, r], bad[:, j], bad[:, r] & bad[:, j]))
+            expected = a * b / n
+            error = math.sqrt(expected * (1 - a / n) * (1 - b / n))
+            ratio = (ab + 0.5) / (expected + 0.5)
+            out[r] |= error > 0 and abs(ab - expected) >= least_z * error and not 1 / lift < ratio < lift
+    return out
+
+
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
     """Shares of the kinds of documents and, for each kind and rule, how often its vote is bad where it votes; from
     distinct vote patterns (rows of -1, 0, 1) and how often each occurs.
 
-    Kind 0 is good; bad documents come in kinds, one for each rule that is meant to find them, as rules that look for
-    different faults don't agree on a bad document. Bounds fix which kind is which: a rule is wrong on 0.5 to 2 percent
-    of good documents and right on at least 80 percent of its own kind. So a lone bad vote counts as an error of the
-    rule where that fault is rarer than the rule's errors, and as a fault where it is more frequent."""
+    Kind 0 is good; bad documents come in kinds, one for each rule that depends on others (see `depends`), as rules that
+    look for different faults don't agree on a bad document. Rates are free; where they start, and a prior worth a few
+    votes, say which kind is which: good documents seldom get a bad vote, a rule mostly finds its own kind. A kind whose
+    own rule votes good on half of it, or that is no rarer than good documents, is no kind of bad ones and is dropped."""
     rules = patterns.shape[1]
-    kinds = np.arange(rules)
-    bad = np.full((rules + 1, rules), 0.1)
-    bad[0], bad[1 + kinds, kinds] = 0.01, 0.9
-    shares = np.full(rules + 1, 0.2 / max(rules, 1))
-    shares[0] = 0.8
     yes, no = (patterns > 0).astype(float), (patterns < 0).astype(float)
-    for _ in range(rounds):
-        held = counts[:, None] * kind_odds(patterns, shares, bad)
-        new_bad = (held.T @ no + 0.5) / (held.T @ (yes + no) + 1)
-        new_bad[0] = np.clip(new_bad[0], 0.005, 0.02)
-        new_bad[1 + kinds, kinds] = np.clip(new_bad[1 + kinds, kinds], 0.8, 0.995)
-        new_bad = np.clip(new_bad, 0.001, 0.999)
-        new_shares = (held.sum(axis=0) + 0.01) / (counts.sum() + 0.01 * (rules + 1))
-        moved = max(np.abs(new_bad - bad).max(initial=0), np.abs(new_shares - shares).max(initial=0))
-        shares, bad = new_shares, new_bad
-        if moved < 1e-9:
-            break
-    return shares, bad
+    kinds = np.flatnonzero(depends(patterns, counts))
+    while True:
+        own = np.arange(len(kinds)) + 1, kinds
+        bad, weight = np.full((len(kinds) + 1, rules), 0.1), np.full((len(kinds) + 1, rules), 2.0)
+        bad[0], weight[0] = 0.02, 20.0
+        bad[own], weight[own] = 0.9, 10.0
+        prior = bad * weight
+        shares = np.array([0.8, *[0.2 / max(1, len(kinds))] * len(kinds)])
+        shares /= shares.sum()
+        for _ in range(rounds):
+            held = counts[:, None] * kind_odds(patterns, shares, bad)
+            new_bad = np.clip((held.T @ no + prior) / (held.T @ (yes + no) + weight), 0.001, 0.999)
+            new_shares = (held.sum(axis=0) + 0.01) / (counts.sum() + 0.01 * len(shares))
+            moved = max(np.abs(new_bad - bad).max(initial=0), np.abs(new_shares - shares).max(initial=0))
+            shares, bad = new_shares, new_bad
+            if moved < 1e-9:
+                break
+        stay = (bad[own] > 0.5) & (shares[1:] < shares[0])
+        if stay.all():
+            return shares, bad
+        kinds = kinds[stay]
 
 
 def kind_odds(patterns: np.ndarray, shares: np.ndarray, bad: np.ndarray) -> np.ndarray:

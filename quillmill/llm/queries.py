@@ -33,17 +33,22 @@ def _op2_sql() -> str:
     held = license_scan.Templates()
     words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     places = [f"list_transform(list_filter(range(1, len(w) - {len(p.split()) - 2}), lambda i: w[i:i + {len(p.split()) - 1}] = {p.split()}), lambda i: {{'at': i - 1, 'label': '{label}'}})" for p, label in license_scan.BASE_PHRASES.items()]
-    rows = ", ".join(f"('{label}', {[held.words[t].decode() for t in ts]}, {stride})" for label, ts, stride in zip(held.labels, held.sets, held.stride, strict=True))
+    rows = ", ".join(f"({k}, '{label}', {[held.words[t].decode() for t in ts]}, {stride}, {need})" for k, (label, ts, stride, need) in enumerate(zip(held.labels, held.sets, held.stride, held.need, strict=True)))
     return f"""
-WITH d AS (SELECT doc_id, {words} AS w FROM documents), t AS (SELECT * FROM (VALUES {rows}) v(label, words, stride)),
-b AS (SELECT doc_id, len(w) AS n_words, flatten([{', '.join(places)}]) AS base FROM d),
-k AS (SELECT doc_id, label, words, list_distinct(w[k * stride + 1:k * stride + 2 * stride]) AS block FROM (SELECT doc_id, w, label, words, stride, unnest(range((len(w) + stride - 1) // stride)) AS k FROM d, t)),
-m AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS best FROM (SELECT doc_id, label, len(list_intersect(block, words)) / len(words) AS c FROM k) WHERE c >= 0.8 - 1e-9 GROUP BY 1)
+WITH d AS (SELECT doc_id, row_number() OVER () AS uid, {words} AS w FROM documents), t AS (SELECT * FROM (VALUES {rows}) v(template, label, words, stride, need)),
+b AS (SELECT doc_id, uid, len(w) AS n_words, flatten([{', '.join(places)}]) AS base FROM d),
+k AS (SELECT uid, template, label, words, stride, need, k * stride AS low, (k + 2) * stride AS high, list_distinct(w[k * stride + 1:k * stride + 2 * stride]) AS block FROM (SELECT uid, w, t.*, unnest(range((len(w) + stride - 1) // stride)) AS k FROM d, t)),
+f AS (SELECT *, len(list_intersect(block, words)) AS common, len(words) AS size FROM k),
+m AS (SELECT * FROM f WHERE common >= need),
+p AS (SELECT x.template, y.template AS other, len(list_intersect(x.words, y.words)) AS shared FROM t x JOIN t y ON x.label <> y.label),
+a AS (SELECT DISTINCT m.uid, m.template, m.low FROM m JOIN p ON m.template = p.template AND p.shared >= m.need JOIN m o ON o.uid = m.uid AND o.template = p.other AND m.low < o.high AND o.low < m.high
+      WHERE (o.common * m.size > m.common * o.size OR (o.common * m.size = m.common * o.size AND o.common > m.common)) AND NOT (m.common = m.size AND p.shared < m.size)),
+l AS (SELECT uid, list(DISTINCT label) AS labels, max(common / size) AS best FROM m ANTI JOIN a ON m.uid = a.uid AND m.template = a.template AND m.low = a.low GROUP BY uid)
 SELECT b.doc_id, n_words::BIGINT AS n_words, len(base)::BIGINT AS n_base, list_min(list_transform(base, lambda x: x.at)) AS first_word, list_max(list_transform(base, lambda x: x.at)) AS last_word,
        array_to_string(list_sort(list_distinct(list_transform(base, lambda x: x.label))), ',') AS base_labels,
-       array_to_string(list_sort(list_distinct(list_concat(list_transform(base, lambda x: x.label), coalesce(m.labels, [])))), ',') AS labels,
+       array_to_string(list_sort(list_distinct(list_concat(list_transform(base, lambda x: x.label), coalesce(l.labels, [])))), ',') AS labels,
        CASE WHEN len(base) > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
-FROM b LEFT JOIN m ON b.doc_id = m.doc_id"""
+FROM b LEFT JOIN l ON b.uid = l.uid"""
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

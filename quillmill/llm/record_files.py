@@ -7,7 +7,8 @@ Index: for each record its offset, payload length and number of ids before it in
 
 A task writes a pair of files under names of its own into the shared folder and reports them in a manifest; only files
 in the manifest count, so a task that runs again leaves no record twice. Records are in ascending doc_id order over the
-files in part order (null first; equal doc_ids in the order of their text).
+files in part order (null first; equal doc_ids in the order of their texts' hash). Files hold ranges of (doc_id, hash of
+the text, place in the input), so that rows without a doc_id, or repeated rows, are spread over files as others are.
 
 Defined results: a null text is empty and holds the end id alone; an empty table has no file; other columns are unread.
 """
@@ -79,10 +80,17 @@ class RecordFile:
         random.Random(seed).shuffle(order)
         return (self.read(k) for k in order)
 
-    def in_order(self) -> Iterator[tuple[int | None, np.ndarray]]:
-        self.file.seek(0)
-        for _, length, _ in self.index.tolist():
-            yield _parsed(self.file.read(length + 16), length)
+    def in_order(self, most_bytes: int = 4 << 20) -> Iterator[tuple[int | None, np.ndarray]]:
+        """All records by the index's offsets, read in runs of about `most_bytes`."""
+        offsets, lengths = self.index[:, 0].astype(np.int64), self.index[:, 1].astype(np.int64)
+        a = 0
+        while a < len(offsets):
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most_bytes)))
+            self.file.seek(int(offsets[a]))
+            data = memoryview(self.file.read(int(offsets[b - 1] + lengths[b - 1] + 16 - offsets[a])))
+            for at, length in zip((offsets[a:b] - offsets[a]).tolist(), lengths[a:b].tolist(), strict=True):
+                yield _parsed(bytes(data[at : at + length + 16]), length)
+            a = b
 
     def close(self) -> None:
         self.file.close()
@@ -123,7 +131,8 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
             index.close()
             yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "path": [name], "n_records": [records], "n_tokens": [tokens]})
 
-    ordered = doc_texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = doc_texts(docs).select("*", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    ordered = keyed.repartitionByRange("doc_id", "hash", "place").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
     return written(ordered.mapInArrow(run, "part long, path string, n_records long, n_tokens long"), "manifest")
 
 
@@ -135,17 +144,23 @@ def read_records(manifest: DataFrame) -> DataFrame:
         files.append((row.part, row.path, before))
         before += row.n_tokens
 
-    def run(batches):
+    def run(batches, step: int = 50_000):
         for b in batches:
             for part, path, start in batch_rows(b):
                 held, rows = RecordFile(path), []
                 for k, (doc_id, ids) in enumerate(held.in_order()):
                     rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), part, k))
                     start += len(ids)
+                    if len(rows) == step:
+                        yield as_batch(rows)
+                        rows = []
                 held.close()
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                if rows:
+                    yield as_batch(rows)
+
+    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names)
 
     names = ["doc_id", "start", "n_tokens", "ids_crc32", "part", "record"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     listed = spark.createDataFrame(files, "part long, path string, start long").repartition(max(1, len(files)), F.col("part"))
     return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, part long, record long")

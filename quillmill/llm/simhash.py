@@ -9,7 +9,11 @@ share a fingerprint and go as one. A cell yields a spanning forest of its links,
 from pivots (see _large_cell), so that a big group of near copies costs about its size.
 
 Defined results: a null text has no words, whose fingerprint is 0 and is linked like any other; fewer words than a
-shingle make one shingle; a null doc_id sorts after every other one; an empty table gives an empty result.
+shingle make one shingle; a null doc_id sorts after every other one; rows of equal doc_id and text share their verdict
+(keep_one keeps one of them); an empty table gives an empty result.
+
+A cell holds four groups' counts, about 24 bits: of fingerprints without any relation the commonest cell gets 2^-16, and
+within a cell a pivot meets only what is within twice the radius of it, so far members cost one comparison a pivot.
 """
 
 from __future__ import annotations
@@ -19,11 +23,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from quillmill.llm.common import NO_ID, doc_texts, written
-from quillmill.llm.components import components, forest
+from quillmill.llm.common import doc_texts, has_repeats, ordered_id, rows_that_stay, text_key, written
+from quillmill.llm.components import components, first_of_each, forest
 from quillmill.llm.tokens import text_slices
 
 SEED = 42
@@ -55,23 +60,28 @@ def shingle_hashes(text: str, width: int) -> np.ndarray:
 
 
 def fingerprint(text: str, width: int = 4) -> int:
-    hashes = shingle_hashes(text, width)
+    return majority(shingle_hashes(text, width))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Each bit that is set in over half of these numbers."""
     if not len(hashes):
         return 0
     bits = (2 * bit_counts(hashes) > len(hashes)).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id, fp: the fingerprint's 64 bits as a long."""
+def fingerprints(docs: DataFrame, width: int = 4, *more: Column) -> DataFrame:
+    """doc_id, fp: the fingerprint's 64 bits as a long; `more` are passed on."""
+    texts = doc_texts(docs, *more)
+    schema = StructType([texts.schema["doc_id"], StructField("fp", LongType()), *texts.schema.fields[2:]])
 
     def run(batches):
         for part in (x for b in batches for x in text_slices(b)):
             found = np.array([fingerprint(t.as_py(), width) for t in part.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64)), *part.columns[2:]], schema.names)
 
-    texts = doc_texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    return texts.mapInArrow(run, "doc_id long, fp long")
+    return texts.mapInArrow(run, schema)
 
 
 def embed(fps: np.ndarray) -> np.ndarray:
@@ -183,20 +193,21 @@ def _as_batch(pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
+def _firsts(rows: DataFrame, radius: int, *more: str) -> DataFrame:
+    """rows (doc_id, fp, ...) -> node (fp), first (none, id, ...): the least row of what the fingerprint is linked to."""
+    distinct = written(rows.groupBy(F.col("fp").alias("node")).agg(F.min(ordered_id(*more)).alias("least")), "distinct")
+    return first_of_each(distinct, components(links(distinct.select(F.col("node").alias("fp")), radius)))
+
+
 def near_dedup(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     rows = written(fingerprints(docs, width), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(links(distinct, radius))
-    # a component's smallest doc_id; single fingerprints are their own
-    classes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    members = classes.join(least, "component").select("fp", "component_id")
-    null_back = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c)
-    return rows.join(members, "fp").select(null_back("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), null_back("component_id"))
+    members = _firsts(rows, radius).select(F.col("node").alias("fp"), F.col("first.id").alias("component_id"))
+    return rows.join(members, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of docs, with all their columns, of each component's smallest doc_id."""
-    stay = near_dedup(docs, width, radius).where("doc_id <=> component_id").select(F.col("doc_id").alias("_stay_id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_stay_id")), "left_semi")
+    """The rows of docs, with all their columns, that are the first of their component by doc_id and text."""
+    rows = written(fingerprints(docs, width, text_key(docs).alias("key")), "fingerprints")
+    stay = written(_firsts(rows, radius, "key").select("first.*").distinct(), "stay")
+    return rows_that_stay(docs, stay, text_key(docs), has_repeats(rows))

@@ -119,7 +119,7 @@ class PieceEncoder:
     def _numbers(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For each distinct piece the number of its ids' run and that of its mark's, -1 if it has none. A mark after
         letters is a word of its own to both kinds of tokenizer, so words with and without one are known once."""
-        two = pc.match_substring_regex(pieces, f"^{BARE}?\\p{{L}}+[.,;:!?]$")
+        two = self._ends_in_mark(pieces)
         stems = pc.if_else(two, pc.utf8_slice_codeunits(pieces, 0, -1), pieces)
         bare = BARE if self.kind == "spaced" else ""
         marks = pc.if_else(two, pc.binary_join_element_wise(bare, pc.utf8_slice_codeunits(pieces, -1), ""), None)
@@ -129,6 +129,22 @@ class PieceEncoder:
         found = np.where(where >= 0, numbers[where], -1) if len(numbers) else where.astype(np.int64)
         return found[: len(pieces)], found[len(pieces) :]
 
+    def _ends_in_mark(self, pieces: pa.Array) -> pa.Array:
+        """Which pieces are letters and a mark. Beyond ASCII that holds only where the tokenizer sees the same letters:
+        a normaliser may turn one letter into a letter and a combining mark, which runs on into what follows."""
+        two = pc.match_substring_regex(pieces, f"^{BARE}?\\p{{L}}+[.,;:!?]$")
+        beyond = pc.and_(two, pc.invert(pc.string_is_ascii(pieces)))
+        at = np.flatnonzero(beyond.to_numpy(zero_copy_only=False))
+        if not len(at):
+            return two
+        held = two.to_numpy(zero_copy_only=False).copy()
+        held[at] = [self.is_letters(p[:-1].removeprefix(BARE)) for p in pieces.take(pa.array(at)).to_pylist()]
+        return pa.array(held)
+
+    def is_letters(self, stem: str) -> bool:
+        """Whether letters beyond ASCII stay, as they are, one word to the tokenizer."""
+        return stem.isalpha()
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and for each text where its ids begin, then where the last end."""
         self.known.shrink()
@@ -193,6 +209,13 @@ class TextEncoder(PieceEncoder):
     def encode_whole(self, text: str) -> bytes:
         return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def is_letters(self, stem: str) -> bool:
+        return stem.isalpha() and (self.kind != "words" or self._is_normal(stem))
+
+    @staticmethod
+    def _is_normal(text: str) -> bool:
+        return unicodedata.is_normalized("NFC", text) and text == text.lower()
+
     def encode_pieces(self, pieces: pa.Array) -> Pool:
         """Pieces of letters are one word to both kinds of tokenizer and go to the library's model at once; what else
         there is goes the whole way."""
@@ -210,7 +233,7 @@ class TextEncoder(PieceEncoder):
 
     def _merged(self, text: str) -> bytes:
         """A word of letters through the library's model; nothing if it would first be normalised."""
-        if self.kind == "words" and not text.isascii() and not (unicodedata.is_normalized("NFC", text) and text == text.lower()):
+        if self.kind == "words" and not text.isascii() and not self._is_normal(text):
             return b""
         symbols = text if text.isascii() and text[0] != " " else text.encode().decode("latin-1").translate(_AS_SYMBOLS)
         return self._packed([t.id for t in self.tokenizer.model.tokenize(symbols)])

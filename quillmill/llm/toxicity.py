@@ -10,7 +10,8 @@ are fitted on a bounded sample of labelled documents (`per_class` of each label
 doc_id hash; their distinct features, not their texts, come to the driver); every document is scored.
 
 Defined results: a null text has no features and scores as such; null labels and documents without text are left out of
-training; a chain without both labels of a category gives that category's base rate; repeated rows are scored each; an
+training; where a document's labels disagree the greater counts; of rows with equal doc_id the text of least hash is
+trained on; a chain without both labels of a category gives that category's base rate; repeated rows are scored each; an
 empty table gives an empty result; other columns are unread.
 """
 
@@ -116,11 +117,15 @@ def fit_chain(sets: list[set[bytes]], labels: dict[str, np.ndarray], folds: int
 def training_sample(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], per_class: int) -> tuple[list[set[bytes]], dict[str, np.ndarray]]:
     """The features and labels of at most 2 * per_class labelled documents."""
     last = list(categories)[-1]
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.cast("int").alias(f"y_{k}") for k, c in categories.items()]).dropna().dropDuplicates(["doc_id"])
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.cast("int").alias(f"y_{k}") for k, c in categories.items()]).dropna()
+    marked = marked.groupBy("doc_id").agg(*[F.max(f"y_{k}").alias(f"y_{k}") for k in categories])
     ordered = F.xxhash64("doc_id")
     few = [marked.where(F.col(f"y_{last}") == y).orderBy(ordered, "doc_id").limit(per_class) for y in (0, 1)]
     chosen = few[0].unionByName(few[1])  # at most 2 * per_class rows of a few numbers
-    rows = doc_texts(docs).where("text <> ''").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", *[f"y_{k}" for k in categories])
+    rows = doc_texts(docs).where("text <> ''").join(F.broadcast(chosen), "doc_id")
+    # one text of each, found before the shuffle
+    one = rows.groupBy("doc_id", *[f"y_{k}" for k in categories]).agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("t"))
+    rows = one.select("doc_id", "t.text", *[f"y_{k}" for k in categories])
 
     names = list(categories)
 
