@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import exact_dedup, near_copies, packing, substring_dedup, toxicity
+from quillmill.llm import exact_dedup, simhash_copies, packing, substring_dedup, toxicity
 from quillmill.llm.common import written
 
 
@@ -22,7 +22,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
-    return near_copies.keep_one(docs, width=5, threshold=0.8)
+    return simhash_copies.keep_one(docs, width=5, threshold=0.8)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
