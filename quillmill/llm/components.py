@@ -34,10 +34,11 @@ def _forest_of_task(batches):
         yield pa.RecordBatch.from_arrays([pa.array(held[:, 0]), pa.array(held[:, 1])], ["a", "b"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, one_task: int = 1 << 20) -> DataFrame:
     """edges (a long, b long) -> node, component (its smallest node) of every node but those smallest ones.
 
-    Every task first reduces its edges to a forest. Then large-star and small-star rounds (each node's neighbours are
+    Every task first reduces its edges to a forest. Where at most `one_task` edges are left, one task joins these forests.
+    Beyond that large-star and small-star rounds (each node's neighbours are
     linked to the least of them) run as joins until no edge changes; what is left are stars around the smallest nodes.
     A node with very many neighbours is no task of its own: each node's least neighbour is found by a pre-aggregated
     groupBy and written, so that edges meet it in a join whose skewed partitions Spark splits. No edge comes to the
@@ -45,6 +46,8 @@ def components(edges: DataFrame) -> DataFrame:
     no edge."""
     reduced = edges.select("a", "b").where("a <> b").mapInArrow(_forest_of_task, "a long, b long")
     now = written(reduced.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    if now.count() <= one_task:  # counted from the written table; 16 bytes an edge
+        return written(now.repartition(1).mapInArrow(_forest_of_task, "a long, b long"), "roots").select(F.col("a").alias("node"), F.col("b").alias("component"))
     before = None
     while True:
         # large star: neighbours above a node go to the least node around it

@@ -3,11 +3,11 @@ or more.
 
 At a similarity of 0.8 a SimHash bit differs with probability 0.15, so such pairs lie far beyond the radius for which the
 grid of simhash.py is exact. The embedding stays the same (bit counts of two-bit segments, Manhattan distance as a lower
-bound of Hamming distance), with wider fingerprints and a grid of its own: 256 bits make 128 segments, each of 128 tables
+bound of Hamming distance), with wider fingerprints (1,024 bits) and a grid of its own: 256 bits make 128 segments, each of 128 tables
 takes ten of these, and texts with the same counts in a table's segments share a cell. A segment of a pair at 0.8 keeps
 its count with probability 0.73, so the pair meets in some cell with probability 0.99, a pair at 0.9 nearly always; far
 texts share one of 18,000 cells by chance. Within a cell pairs are held against the Manhattan bound and the Hamming
-radius of the first 128 bits, and pairs within it, found in any cell, are the candidates.
+radius of the first 128 bits; pairs found in any cell that all bits and the sets' sizes allow are the candidates.
 
 Candidates are then verified exactly, by the Jaccard similarity of their shingles (as 64-bit hashes), as far as that can
 change the components. First each text is held against the nearest of its candidates and against the one with the most
@@ -16,8 +16,8 @@ of all candidates, at about the cost of a spanning forest. Where a cell is crowd
 copies) it gives stars around its most central members instead of all pairs; what those stars leave in different
 components is joined within the cell in Spark, whatever the cell's size.
 
-Texts of equal shingle sets go as one. Sets of a few shingles have rough fingerprints: at 5 to 20 shingles some three of
-four pairs at 0.8 are found, from 50 on all but a few of a hundred.
+Texts of equal shingle sets go as one. Sets of a few shingles have rough fingerprints: of pairs of five shingles and four
+of these, two of three are found.
 
 Defined results: a null text has no words and an empty set, and all such are copies; fewer words than a shingle make one
 shingle; a null doc_id sorts after every other one; rows of equal doc_id and text share their verdict (keep_one keeps one
@@ -29,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import doc_texts, has_repeats, ordered_id, rows_that_stay, text_key, written
@@ -37,15 +37,15 @@ from quillmill.llm.components import components, first_of_each
 from quillmill.llm.simhash import SEED, embed, majority, manhattan, shingle_hashes
 from quillmill.llm.tokens import text_slices
 
-#: Words of 64 bits in a fingerprint, and those that travel with the cells.
-WORDS, CARRIED = 4, 2
+#: Words of 64 bits in a fingerprint, those of them that make the cells, and those that travel with the cells.
+WORDS, GRID, CARRIED = 16, 4, 2
 TABLES, SEGMENTS = 128, 10
-#: Bits by which the carried words of alike texts may differ, and all words: 19 and 39 on average at 0.8; more than these
-#: in one pair of a thousand.
-RADIUS, WHOLE_RADIUS = 33, 57
+#: Bits by which the carried words of alike texts may differ, and all words: 19 and 155 on average at 0.8; more than these
+#: in one pair of a hundred or less.
+RADIUS, WHOLE_RADIUS = 30, 185
 #: Cells up to this size are compared pair by pair; a cell with more candidates than so many for a member gives stars.
-_SMALL, _CROWDED = 256, 8
-_CHOSEN = np.stack([np.random.default_rng(SEED + t).choice(32 * WORDS, SEGMENTS, replace=False) for t in range(TABLES)])
+_SMALL, _CROWDED = 256, 2
+_CHOSEN = np.stack([np.random.default_rng(SEED + t).choice(32 * GRID, SEGMENTS, replace=False) for t in range(TABLES)])
 _POWERS = 3 ** np.arange(SEGMENTS)
 _MIXES = np.random.default_rng(SEED).integers(1 << 62, dtype=np.uint64, size=WORDS) * np.uint64(2) + np.uint64(1)
 
@@ -97,8 +97,8 @@ def sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def cells(fps: np.ndarray) -> np.ndarray:
-    """The cell of each fingerprint (n x WORDS) in each table (n x TABLES)."""
-    held = np.ascontiguousarray(embed(fps.reshape(-1))).view(np.uint8).reshape(-1, 8 * WORDS)
+    """The cell of each fingerprint (n x GRID words) in each table (n x TABLES)."""
+    held = np.ascontiguousarray(embed(fps.reshape(-1))).view(np.uint8).reshape(-1, 8 * GRID)
     counts = (held[:, :, None] >> np.arange(0, 8, 2, dtype=np.uint8) & 3).reshape(len(held), -1).astype(np.int64)
     return np.stack([counts[:, chosen] @ _POWERS + t * 3**SEGMENTS for t, chosen in enumerate(_CHOSEN)], axis=1)
 
@@ -165,7 +165,7 @@ def cell_pairs(cell: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _spread(batches):
     for b in batches:
-        item, fps = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, WORDS)
+        item, fps = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, GRID)
         for k in range(0, len(item), 1024):
             found = cells(fps[k : k + 1024])
             carried = np.repeat(fps[k : k + 1024, :CARRIED], TABLES, axis=0)
@@ -218,24 +218,28 @@ def alike(pairs: DataFrame, docs: DataFrame, items: DataFrame, width: int, thres
     return pairs.join(side("a"), "a").join(side("b"), "b").where(both / (F.size("s_a") + F.size("s_b") - both) >= threshold).select("a", "b")
 
 
-def _allowed(pairs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    """The pairs that sizes and whole fingerprints allow."""
-    side = lambda c: items.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("fp").alias(f"fp_{c}"))
+def _may_be_alike(threshold: float) -> Column:
+    """Whether sizes (n_a, n_b) and whole fingerprints (fp_a, fp_b) allow a pair."""
     sizes = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
     far = sum(F.bit_count(F.get("fp_a", F.lit(k)).bitwiseXOR(F.get("fp_b", F.lit(k)))) for k in range(WORDS))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(sizes & (far <= WHOLE_RADIUS)).drop("n_a", "n_b", "fp_a", "fp_b")
+    return sizes & (far <= WHOLE_RADIUS)
+
+
+def _side(items: DataFrame, c: str) -> DataFrame:
+    return items.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("fp").alias(f"fp_{c}"))
 
 
 def candidates(items: DataFrame) -> DataFrame:
     """items (node, n, fp) -> what _meet gives."""
-    rows = items.where("n > 0").select("node", "fp").mapInArrow(_spread, "cell long, item long, f0 long, f1 long")
+    rows = items.where("n > 0").select("node", F.slice("fp", 1, GRID)).mapInArrow(_spread, "cell long, item long, f0 long, f1 long")
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_meet, ", ".join(f"{c} long" for c in _MET))
 
 
 def links(docs: DataFrame, items: DataFrame, width: int, threshold: float) -> DataFrame:
     """items (node, least, n, fp) -> node, component, as all candidates at or above the threshold connect them."""
     met = written(candidates(items), "met")
-    pairs = written(_allowed(met.where("cell is null").groupBy("a", "b").agg(F.min("f0").alias("far")), items, threshold), "candidates")
+    near = met.where("cell is null").groupBy("a", "b").agg(F.min("f0").alias("far"))
+    pairs = written(near.join(_side(items, "a"), "a").join(_side(items, "b"), "b").where(_may_be_alike(threshold)).select("a", "b", "far"), "candidates")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
     degree = both.groupBy("b").agg(F.count("*").alias("degree"))
     near = both.join(degree, "b").groupBy("a").agg(F.min(F.struct("far", "b")).alias("near"), F.max(F.struct("degree", "b")).alias("hub"))
@@ -245,7 +249,8 @@ def links(docs: DataFrame, items: DataFrame, width: int, threshold: float) -> Da
     roots = components(found)
     of = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")), c, "left").withColumn(f"c_{c}", F.coalesce(f"c_{c}", c))
     apart = of(of(pairs.select("a", "b"), "a"), "b").where("c_a <> c_b").select("a", "b")
-    rest = apart.unionByName(_allowed(across(of(met.where("cell is not null").select("cell", "a", "f0", "f1"), "a")), items, threshold)).distinct()
+    crowded = of(met.where("cell is not null").select("cell", "a"), "a").join(_side(items, "a"), "a")
+    rest = apart.unionByName(across(crowded, threshold)).distinct()
     rest = written(rest.join(picked, ["a", "b"], "left_anti"), "rest")
     if rest.isEmpty():
         return roots
@@ -253,15 +258,15 @@ def links(docs: DataFrame, items: DataFrame, width: int, threshold: float) -> Da
     return components(found.unionByName(more))
 
 
-def across(rows: DataFrame) -> DataFrame:
-    """rows of crowded cells (cell, a, f0, f1, c_a: component) -> a, b: pairs of a cell within RADIUS in different
-    components. All but the cell's commonest component are held against the cell, so a cell of one component costs nothing."""
+def across(rows: DataFrame, threshold: float) -> DataFrame:
+    """rows of crowded cells (cell, a, n_a, fp_a, c_a: component) -> a, b: pairs of a cell in different components that
+    sizes and fingerprints allow. All but the cell's commonest component are held against the cell, so a cell of one
+    component costs nothing."""
     rows = written(rows, "crowded")
     most = rows.groupBy("cell", "c_a").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max(F.struct("n", "c_a"))["c_a"].alias("main"))
-    others = written(rows.join(most, "cell").where("c_a <> main").drop("main"), "others")
-    far = F.bit_count(F.col("f0").bitwiseXOR(F.col("o_f0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("o_f1")))
-    met = rows.join(others.select("cell", *[F.col(c).alias(f"o_{c}") for c in ("a", "f0", "f1", "c_a")]), "cell").where((F.col("c_a") != F.col("o_c_a")) & (far <= RADIUS))
-    return met.select(F.least("a", "o_a").alias("a"), F.greatest("a", "o_a").alias("b")).distinct()
+    others = written(rows.join(most, "cell").where("c_a <> main").select("cell", *[F.col(f"{c}a").alias(f"{c}b") for c in ("", "n_", "fp_", "c_")]), "others")
+    met = rows.join(others, (rows["cell"] == others["cell"]) & (F.col("c_a") != F.col("c_b")) & _may_be_alike(threshold))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _firsts(docs: DataFrame, rows: DataFrame, width: int, threshold: float) -> DataFrame:
