@@ -27,6 +27,7 @@ METADATA_STOPWORDS = "the a an and or but in on at to for of with by".split()
 
 #: Anything that is no letter, digit or underscore, the same in Java's and RE2's patterns.
 BREAK = "[^\\p{L}\\p{N}_]+"
+_WORD = "[\\p{L}\\p{N}_]"
 
 
 def text(c: Column | str) -> Column:
@@ -45,17 +46,17 @@ def tokens(c: Column | str) -> Column:
 
 def all_terms(c: Column | str, least: int = 2) -> Column:
     """Tokens of `least` and more letters a-z and nothing else, stop words included (for phrases and distances)."""
-    return F.filter(F.split(F.lower(text(c)), BREAK), lambda x: x.rlike(f"^[a-z]{{{least},}}$"))
+    return F.regexp_extract_all(F.lower(text(c)), F.lit(f"(?<!{_WORD})[a-z]{{{least},}}(?!{_WORD})"), F.lit(0))
 
 
 def terms(c: Column | str) -> Column:
     """The terms that the lexical index holds."""
-    return F.filter(F.split(F.lower(text(c)), BREAK), lambda x: x.rlike("^[a-z]{2,}$") & ~x.isin(INDEX_STOPWORDS))
+    return F.filter(all_terms(c), lambda x: ~x.isin(INDEX_STOPWORDS))
 
 
-def ranked_words(df: DataFrame, key: str, array: Column) -> DataFrame:
-    """key, word, freq, rank: words by frequency, then by first occurrence."""
-    found = df.select(key, F.posexplode(array).alias("at", "word")).groupBy(key, "word").agg(F.count("*").alias("freq"), F.min("at").alias("first_at"))
+def ranked_words(df: DataFrame, key: str, array: Column, more: tuple[str, ...] = ()) -> DataFrame:
+    """key, word, freq, rank (and more columns of the key's row): words by frequency, then by first occurrence."""
+    found = df.select(key, *more, F.posexplode(array).alias("at", "word")).groupBy(key, "word").agg(F.count("*").alias("freq"), F.min("at").alias("first_at"), *[F.first(c).alias(c) for c in more])
     order = Window.partitionBy(key).orderBy(F.desc("freq"), "first_at")
     return found.withColumn("rank", F.row_number().over(order))
 
@@ -66,9 +67,9 @@ def chat_keywords(df: DataFrame, key: str, column: str, k: int = 10) -> DataFram
     return ranked_words(df, key, kept).where((F.col("rank") <= k) & (F.col("freq") > 1))
 
 
-def key_terms(df: DataFrame, key: str, column: str, k: int = 20) -> DataFrame:
+def key_terms(df: DataFrame, key: str, column: str, k: int = 20, more: tuple[str, ...] = ()) -> DataFrame:
     """Of the k most frequent words of any kind, those longer than three, no stop words and no digits."""
-    top = ranked_words(df, key, tokens(column)).where(F.col("rank") <= k)
+    top = ranked_words(df, key, tokens(column), more).where(F.col("rank") <= k)
     return top.where((F.length("word") > 3) & ~F.col("word").isin(KEY_TERM_STOPWORDS) & ~F.col("word").rlike("^\\p{N}+$"))
 
 

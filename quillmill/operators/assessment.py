@@ -57,19 +57,25 @@ def related_by_category(docs: DataFrame, category: str, k: int = 10) -> DataFram
     joined, so its size doesn't count twice."""
     w = Window.partitionBy(category).orderBy("doc_id")
     first = docs.select(category, F.col("doc_id").alias("related_id"), F.row_number().over(w).alias("n")).where(F.col("n") <= k + 1)
-    joined = docs.select("doc_id", category).join(F.broadcast(first.groupBy(category).agg(F.array_sort(F.collect_list("related_id")).alias("ids"))), category)
+    joined = docs.select("doc_id", category).join(first.groupBy(category).agg(F.array_sort(F.collect_list("related_id")).alias("ids")), category)
     return joined.select("doc_id", F.explode(F.slice(F.filter("ids", lambda x: x != F.col("doc_id")), 1, k)).alias("related_id"))
 
 
-def authority_connections(docs: DataFrame, queries: DataFrame, threshold: float = 0.2, least: float = 0.8) -> DataFrame:
-    """For each query document how many classes of documents of equal key terms, with a document of more authority than
-    `least`, are at least this similar, and the most similar one."""
-    all_sets = duplicates.term_sets(docs)
-    classes = all_sets.join(docs.select("doc_id", "authority"), "doc_id").groupBy("terms").agg(F.min("doc_id").alias("item"), F.max("authority").alias("authority"))
-    asked = all_sets.join(queries.select("doc_id"), "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id")
-    found = duplicates.search_sets(classes.where(F.col("authority") > least).select("item", "terms"), asked, threshold, False, 1)
+def authority_connections(docs: DataFrame, threshold: float = 0.2, least: float = 0.8) -> DataFrame:
+    """docs (doc_id, text, authority) -> doc_id, class_id, n_connections, nearest_id of every document. A class is the
+    documents of equal key terms, named by its smallest doc_id; n_connections is how many other documents of more authority
+    than `least` are at least this similar, nearest_id the most similar other class that holds such a document. Classes are
+    compared, in blocks, so copies cost nothing; a document without key terms is its own class without connections."""
+    sets = duplicates.term_sets(docs, "authority")
+    strong = F.coalesce(F.col("authority") > least, F.lit(False))
+    classes = sets.groupBy("terms").agg(F.min("doc_id").alias("item"), F.count_if(strong).alias("weight"))
+    found = duplicates.search_sets(classes.where("weight > 0"), classes.select(F.col("item").alias("query_id"), "terms"), threshold, False, 1)
     best = F.max_by("item", F.struct("similarity", (-F.col("item")).alias("_")))
-    return found.groupBy("query_id").agg(F.sum("n").alias("n_connections"), best.alias("nearest_id"))
+    links = found.groupBy(F.col("query_id").alias("item")).agg(F.sum("n").alias("others"), best.alias("nearest_id"))
+    linked = classes.join(links, "item", "left")
+    members = sets.join(linked, "terms").select("doc_id", F.col("item").alias("class_id"), (F.coalesce("others", F.lit(0)) + F.col("weight") - strong.cast("int")).alias("n"), "nearest_id")
+    rows = docs.select("doc_id").join(members, "doc_id", "left")
+    return rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_connections"), "nearest_id")
 
 
 def savings(usage: DataFrame, factors: dict[str, float], as_of: Column, days: int = 30, last: int = 7) -> DataFrame:

@@ -82,33 +82,38 @@ def explain(docs: DataFrame, query: str) -> DataFrame:
     return rows.select("doc_id", "x.term", "x.tf", "x.df", idf(F.col("n"), F.col("x.df")).alias("idf"), (idf(F.col("n"), F.col("x.df")) * part).alias("score"))
 
 
-def search(docs: DataFrame, query: str, k: int = 10, phrases: bool = True, proximity: bool = True) -> DataFrame:
-    """doc_id, bm25, phrase, proximity, score of the k best documents, by score then doc_id. No usable term: no rows."""
+def scores(docs: DataFrame, query: str, phrases: bool = True, proximity: bool = True) -> DataFrame:
+    """doc_id, bm25, phrase, proximity, score of every document with a positive score. No usable term: no rows.
+
+    A document is cut into terms once for its counts (a generated row keeps the optimizer from working them out again in
+    each filter and expression above) and once for the statistics, which read nothing else."""
     quoted, wanted = parse_query(query)
     quoted = quoted if phrases else []
     distinct = list(dict.fromkeys(wanted))
+    near = proximity and 2 <= len(wanted) == len(distinct)
     index = docs.where(F.length(F.trim(T.text("text"))) > 0).select("doc_id", T.all_terms("text").alias("all"))
-    index = index.withColumn("terms", F.filter("all", lambda x: ~x.isin(T.INDEX_STOPWORDS)))
-    places = [_places_of("all", t).alias(f"at{j}") for j, t in enumerate(distinct)]
-    counted = index.select(
-        "doc_id",
-        F.size("terms").alias("dl"),
-        *[_count_of("terms", t).alias(f"tf{j}") for j, t in enumerate(distinct)],
-        *places,
-        _phrase_count(quoted).alias("phrase_hits"),
-        _has_phrase(quoted).alias("has_phrase"),
-    )
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{j}") > 0).alias(f"df{j}") for j in range(len(distinct))])
-    rows = counted.crossJoin(F.broadcast(stats))
-    zero = F.lit(0.0)
-    bm25 = sum((F.when(F.col(f"tf{distinct.index(t)}") > 0, idf(F.col("n"), F.col(f"df{distinct.index(t)}")) * term_part(F.col(f"tf{distinct.index(t)}"), F.col("dl"), F.col("avgdl"))).otherwise(0.0) for t in wanted), zero)
-    near = _proximity(len(distinct)) * PROXIMITY_WEIGHT if proximity and 2 <= len(wanted) == len(distinct) else zero
+    terms = F.filter("all", lambda x: ~x.isin(T.INDEX_STOPWORDS))
+    tfs = [_count_of("all", t).alias(f"tf{j}") for j, t in enumerate(distinct)]
+    facts = [F.size(terms).alias("dl"), *tfs, _phrase_count(quoted).alias("phrase_hits"), _has_phrase(quoted).alias("has_phrase")]
+    if near:
+        facts += [_places_of("all", t).alias(f"at{j}") for j, t in enumerate(distinct)]
+    once = lambda columns: F.inline(F.array(F.struct(*columns)))
+    counted = index.select("doc_id", once(facts))
+    stats = index.select(once(facts[: 1 + len(tfs)])).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{j}") > 0).alias(f"df{j}") for j in range(len(distinct))])
     candidate = F.col("has_phrase")
     for j in range(len(distinct)):
         candidate = candidate | (F.col(f"tf{j}") > 0)
-    scored = rows.where(candidate).select("doc_id", bm25.alias("bm25"), (F.col("phrase_hits") * PHRASE_BOOST).alias("phrase"), near.alias("proximity"))
-    scored = scored.withColumn("score", F.col("bm25") + F.col("phrase") + F.col("proximity")).where("score > 0")
-    return scored.orderBy(F.desc(F.round("score", 6)), "doc_id").limit(k)
+    rows = counted.where(candidate).crossJoin(F.broadcast(stats))  # one row
+    zero = F.lit(0.0)
+    bm25 = sum((F.when(F.col(f"tf{distinct.index(t)}") > 0, idf(F.col("n"), F.col(f"df{distinct.index(t)}")) * term_part(F.col(f"tf{distinct.index(t)}"), F.col("dl"), F.col("avgdl"))).otherwise(0.0) for t in wanted), zero)
+    close = _proximity(len(distinct)) * PROXIMITY_WEIGHT if near else zero
+    scored = rows.select("doc_id", bm25.alias("bm25"), (F.col("phrase_hits") * PHRASE_BOOST).alias("phrase"), close.alias("proximity"))
+    return scored.withColumn("score", F.col("bm25") + F.col("phrase") + F.col("proximity")).where("score > 0")
+
+
+def search(docs: DataFrame, query: str, k: int = 10, phrases: bool = True, proximity: bool = True) -> DataFrame:
+    """The k best rows of scores(), by score then doc_id."""
+    return scores(docs, query, phrases, proximity).orderBy(F.desc(F.round("score", 6)), "doc_id").limit(k)
 
 
 def _phrase_count(quoted: list[list[str]]) -> Column:
@@ -130,7 +135,7 @@ def _has_phrase(quoted: list[list[str]]) -> Column:
     for p in quoted:
         words = [w for w in p if w not in T.INDEX_STOPWORDS]
         if words:
-            found = found | (F.size(F.array_except(F.array(*map(F.lit, words)), F.col("terms"))) == 0)
+            found = found | (F.size(F.array_except(F.array(*map(F.lit, words)), F.col("all"))) == 0)
     return found
 
 

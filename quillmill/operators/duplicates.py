@@ -23,9 +23,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return first.join(terms, "doc_id", "left").withColumn("semantic_hash", F.coalesce("semantic_hash", F.md5(F.lit(""))))
 
 
-def term_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, terms (sorted) of documents that have key terms."""
-    return T.key_terms(docs, "doc_id", "text").groupBy("doc_id").agg(F.array_sort(F.collect_set("word")).alias("terms"))
+def term_sets(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, terms (sorted), and more columns of the same document, of documents that have key terms."""
+    kept = T.key_terms(docs, "doc_id", "text", more=more)
+    return kept.groupBy("doc_id").agg(F.array_sort(F.collect_set("word")).alias("terms"), *[F.first(c).alias(c) for c in more])
 
 
 def exact_matches(docs: DataFrame) -> DataFrame:
@@ -52,11 +53,11 @@ def similar_classes(sets: DataFrame, threshold: float, strict: bool = False) ->
     return scored.where(F.col("similarity") > threshold if strict else F.col("similarity") >= threshold)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.85, band: float = 0.3, longest: int = 10_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.85, band: float = 0.3, longest: int | None = None) -> DataFrame:
     """doc_id, class_id, n_links. A class is the documents of equal terms and length; its id is its smallest doc_id.
-    Links: other documents of similarity >= threshold whose lengths differ by at most `band` of the longer one."""
-    sets = docs.select("doc_id", F.length(T.text("text")).alias("length")).join(term_sets(docs), "doc_id").where(F.col("length") < longest)
-    w = Window.partitionBy("terms", "length")
+    Links: other documents of similarity >= threshold whose lengths differ by at most `band` of the longer one. With
+    `longest`, documents of that many characters and more ask for no links; they are still found by shorter ones."""
+    sets = term_sets(docs.select("doc_id", "text", F.length(T.text("text")).alias("length")), "length")
     classes = sets.groupBy("terms", "length").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size"))
     by_terms = classes.groupBy("terms").agg(F.min("class_id").alias("item"), F.collect_list(F.struct("class_id", "length", "size")).alias("members"))
     pairs = similar_classes(by_terms.select("item", "terms"), threshold).select("a", "b")
@@ -65,20 +66,25 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, band: float = 0.3,
     left = held.select(F.col("item").alias("a"), F.col("class_id"), F.col("length").alias("l"))
     right = held.select(F.col("item").alias("b"), F.col("length").alias("r"), F.col("size"))
     near = both.join(left, "a").join(right, "b").where(F.abs(F.col("l") - F.col("r")) <= band * F.greatest("l", "r"))
-    links = near.groupBy("class_id").agg((F.sum("size") - 1).alias("n_links"))
-    of = sets.select("doc_id", F.min("doc_id").over(w).alias("class_id"))
-    return docs.select("doc_id").join(of.join(links, "class_id"), "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    asks = near if longest is None else near.where(F.col("l") < longest)
+    links = asks.groupBy("class_id").agg((F.sum("size") - 1).alias("n_links"))
+    of = sets.join(classes.select("terms", "length", "class_id"), ["terms", "length"]).select("doc_id", "class_id")
+    found = docs.select("doc_id").join(of, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    return found.join(links, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def search_sets(sets: DataFrame, queries: DataFrame, least: float, strict: bool, k: int, block: int = 1024, group: int = 16_384) -> DataFrame:
-    """sets (item, terms) x queries (query_id, terms) -> query_id, item, similarity, n, where n is how many items of the
-    row's group of sets pass the threshold; of each group the k most similar.
+    """sets (item, terms, weight: 1 if not given) x queries (query_id, terms) -> query_id, item, similarity, n, where n is
+    the weight of the items of the row's group of sets that pass the threshold; of each group the k most similar.
 
     A stated query set against all sets: queries come in blocks, sets in groups; a block's term lists are counted
     together for each set, so no pair is a row unless it is among a group's k best."""
     sizes = (max(1, -(-queries.count() // block)), max(1, -(-sets.count() // group)))
-    gathered = lambda df, n, c, name: df.groupBy(F.pmod(F.xxhash64(c), F.lit(n)).alias("g")).agg(F.collect_list(F.struct(F.col(c).alias("id"), "terms")).alias(name))
-    met = gathered(sets, sizes[1], "item", "held").select("held").join(gathered(queries, sizes[0], "query_id", "asked").select("asked"))
+    weighted = sets if "weight" in sets.columns else sets.withColumn("weight", F.lit(1))
+    gathered = lambda df, n, c, name, *more: df.groupBy(F.pmod(F.xxhash64(c), F.lit(n)).alias("g")).agg(F.collect_list(F.struct(F.col(c).alias("id"), "terms", *more)).alias(name))
+    # each group of sets goes to each block of queries, by the block's number
+    held = gathered(weighted, sizes[1], "item", "held", "weight").select("held", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sizes[0] - 1).cast("long"))).alias("g"))
+    met = held.join(gathered(queries, sizes[0], "query_id", "asked"), "g").select("held", "asked")
 
     def run(batches):
         for batch in batches:
@@ -98,19 +104,20 @@ def search_sets(sets: DataFrame, queries: DataFrame, least: float, strict: bool,
                         alike = np.round(both / (q_size + len(row["terms"]) - both), 6)
                         for q in np.flatnonzero(alike > least if strict else alike >= least).tolist():
                             if asked[q]["id"] != row["id"]:
-                                found.append((q, -alike[q], row["id"]))
+                                found.append((q, -alike[q], row["id"], row["weight"]))
                 if not found:
                     continue
                 table = np.array(found)
                 order = np.lexsort((table[:, 2], table[:, 1], table[:, 0]))
                 q = table[order, 0].astype(int)
                 begin = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
-                n = np.diff(np.concatenate([begin, [len(q)]]))
-                at = np.arange(len(q)) - np.repeat(begin, n)
+                runs = np.diff(np.concatenate([begin, [len(q)]]))
+                n = np.add.reduceat(table[order, 3].astype(np.int64), begin)
+                at = np.arange(len(q)) - np.repeat(begin, runs)
                 best = order[at < k]
                 ids = np.array([r["id"] for r in asked])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[table[best, 0].astype(int)]), pa.array([found[j][2] for j in best.tolist()], pa.int64()), pa.array(-table[best, 1]), pa.array(np.repeat(n, n)[at < k])],
+                    [pa.array(ids[table[best, 0].astype(int)]), pa.array([found[j][2] for j in best.tolist()], pa.int64()), pa.array(-table[best, 1]), pa.array(np.repeat(n, runs)[at < k])],
                     ["query_id", "item", "similarity", "n"],
                 )
 

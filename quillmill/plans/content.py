@@ -141,13 +141,13 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.exact_matches(table(spark, sf_dir, "documents"))
 
 
-@query(f"""WITH {_KEY}, l AS (SELECT s.doc_id, terms, length(coalesce(text, '')) AS n FROM sets s JOIN documents d ON s.doc_id = d.doc_id WHERE length(coalesce(text, '')) < 10000),
-m AS (SELECT a.doc_id, count(*) AS n_links FROM l a JOIN l b ON a.doc_id <> b.doc_id AND abs(a.n - b.n) <= 0.3 * greatest(a.n, b.n)
+@query(f"""WITH {_KEY}, l AS (SELECT s.doc_id, terms, length(coalesce(text, '')) AS n FROM sets s JOIN documents d ON s.doc_id = d.doc_id),
+m AS (SELECT a.doc_id, count(*) AS n_links FROM l a JOIN l b ON a.n < 10000 AND a.doc_id <> b.doc_id AND abs(a.n - b.n) <= 0.3 * greatest(a.n, b.n)
   AND len(list_intersect(a.terms, b.terms)) / (len(a.terms) + len(b.terms) - len(list_intersect(a.terms, b.terms))) >= 0.85 GROUP BY a.doc_id),
 c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY terms, n) AS class_id FROM l)
 SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN m ON d.doc_id = m.doc_id""")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+    return duplicates.near_duplicates(table(spark, sf_dir, "documents"), longest=10_000)
 
 
 @query(f"""WITH {_KEY}, c AS (SELECT terms, min(doc_id) AS doc_id FROM sets GROUP BY terms), q AS (SELECT * FROM sets WHERE doc_id % 20 = 0),

@@ -181,7 +181,7 @@ norm AS (SELECT list, item_id, CASE WHEN max(score) OVER w = min(score) OVER w T
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both sides' hits for one question; documents and vectors share item ids here."""
     near = vector.top_k(table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 100).select(F.lit("vector").alias("list"), F.col("vec_id").alias("item_id"), "score")
-    hits = bm25.search(table(spark, sf_dir, "documents"), ASKED, 1_000_000, phrases=False, proximity=False)
+    hits = bm25.scores(table(spark, sf_dir, "documents"), ASKED, phrases=False, proximity=False)
     lexical = hits.groupBy((F.col("doc_id") % 500).alias("item_id")).agg(F.max(F.round("score", 6)).alias("score")).orderBy(F.desc("score"), "item_id").limit(100)
     return near.unionByName(lexical.select(F.lit("lexical").alias("list"), "item_id", "score")).withColumn("query_id", F.lit(1))
 
