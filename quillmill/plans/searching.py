@@ -147,7 +147,7 @@ def conversation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation texts of 100 characters and more as chunks (parents and children) with their group's columns; chunk
     places are those of the hierarchical chunker, which tests hold against brute force."""
     texts = chat.conversation_text(spark, sf_dir).where(F.length("text") >= 100)
-    keyed = texts.select("channel", "session", "part", F.concat_ws(":", "channel", F.col("session").cast("string"), F.col("part").cast("string")).alias("doc_id"), "text")
+    keyed = texts.select("channel", "session", "part", F.xxhash64("channel", "session", "part").alias("doc_id"), "text")
     made = chunks.chunk(keyed.select("doc_id", "text"), "hierarchical")
     return made.join(keyed.drop("text"), "doc_id")
 
