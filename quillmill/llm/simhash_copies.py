@@ -43,6 +43,8 @@ TABLES, SEGMENTS = 128, 10
 #: Bits by which the carried words of alike texts may differ, and all words: 19 and 155 on average at 0.8; more than these
 #: in one pair of a hundred or less.
 RADIUS, WHOLE_RADIUS = 30, 185
+#: Sets of fewer shingles have rough fingerprints: their whole radius, as they are few and cheap to verify.
+ROUGH, ROUGH_RADIUS = 16, 256
 #: Cells up to this size are compared pair by pair; a cell with more candidates than so many for a member gives stars.
 _SMALL, _CROWDED = 256, 2
 _CHOSEN = np.stack([np.random.default_rng(SEED + t).choice(32 * GRID, SEGMENTS, replace=False) for t in range(TABLES)])
@@ -222,7 +224,7 @@ def _may_be_alike(threshold: float) -> Column:
     """Whether sizes (n_a, n_b) and whole fingerprints (fp_a, fp_b) allow a pair."""
     sizes = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
     far = sum(F.bit_count(F.get("fp_a", F.lit(k)).bitwiseXOR(F.get("fp_b", F.lit(k)))) for k in range(WORDS))
-    return sizes & (far <= WHOLE_RADIUS)
+    return sizes & (far <= F.when(F.least("n_a", "n_b") < ROUGH, ROUGH_RADIUS).otherwise(WHOLE_RADIUS))
 
 
 def _side(items: DataFrame, c: str) -> DataFrame:
