@@ -3,15 +3,15 @@ or more.
 
 At a similarity of 0.8 a SimHash bit differs with probability 0.15, so such pairs lie far beyond the radius for which the
 grid of simhash.py is exact. The embedding stays the same (bit counts of two-bit segments, Manhattan distance as a lower
-bound of Hamming distance), with wider fingerprints (1,024 bits) and a grid of its own: 256 bits make 128 segments, each of 128 tables
+bound of Hamming distance), with wider fingerprints (2,048 bits) and a grid of its own: 256 bits make 128 segments, each of 128 tables
 takes ten of these, and texts with the same counts in a table's segments share a cell. A segment of a pair at 0.8 keeps
 its count with probability 0.73, so the pair meets in some cell with probability 0.99, a pair at 0.9 nearly always; far
 texts share one of 18,000 cells by chance. Within a cell pairs are held against the Manhattan bound and the Hamming
 radius of the first 128 bits; pairs found in any cell that all bits and the sets' sizes allow are the candidates.
 
 Candidates are then verified exactly, by the Jaccard similarity of their shingles (as 64-bit hashes), as far as that can
-change the components. First each text is held against the nearest of its candidates and against the one with the most
-candidates (the middle of its group); after that only candidates in different components are. So the components are those
+change the components. First each text is held against the nearest of its candidates and, of those with more candidates than
+itself, against the one with the most (the middle of its group); after that only candidates in different components are. So the components are those
 of all candidates, at about the cost of a spanning forest. Where a cell is crowded with candidates (a big group of near
 copies) it gives stars around its most central members instead of all pairs; what those stars leave in different
 components is joined within the cell in Spark, whatever the cell's size.
@@ -34,17 +34,17 @@ from pyspark.sql import functions as F
 
 from quillmill.llm.common import doc_texts, has_repeats, ordered_id, rows_that_stay, text_key, written
 from quillmill.llm.components import components, first_of_each
-from quillmill.llm.simhash import SEED, embed, majority, manhattan, shingle_hashes
+from quillmill.llm.simhash import SEED, embed, manhattan, shingle_hashes
 from quillmill.llm.tokens import text_slices
 
 #: Words of 64 bits in a fingerprint, those of them that make the cells, and those that travel with the cells.
-WORDS, GRID, CARRIED = 16, 4, 2
+WORDS, GRID, CARRIED = 32, 4, 2
 TABLES, SEGMENTS = 128, 10
-#: Bits by which the carried words of alike texts may differ, and all words: 19 and 155 on average at 0.8; more than these
-#: in one pair of a hundred or less.
-RADIUS, WHOLE_RADIUS = 30, 185
+#: Bits by which the carried words of alike texts may differ, and all words: 19 and 310 on average at 0.8; more than these
+#: in one pair of a hundred or less. At 0.7 all words differ by 390 bits, so few such pairs are verified in vain.
+RADIUS, WHOLE_RADIUS = 30, 360
 #: Sets of fewer shingles have rough fingerprints: their whole radius, as they are few and cheap to verify.
-ROUGH, ROUGH_RADIUS = 16, 256
+ROUGH, ROUGH_RADIUS = 16, 512
 #: Cells up to this size are compared pair by pair; a cell with more candidates than so many for a member gives stars.
 _SMALL, _CROWDED = 256, 2
 _CHOSEN = np.stack([np.random.default_rng(SEED + t).choice(32 * GRID, SEGMENTS, replace=False) for t in range(TABLES)])
@@ -62,12 +62,36 @@ def digest(held: np.ndarray) -> int:
 
 
 def wide_fingerprint(held: np.ndarray) -> list[int]:
-    """WORDS fingerprints of a set, by hashes derived from its shingles' hashes."""
-    words = []
-    for mix in _MIXES:
-        x = (held ^ (held >> np.uint64(31))) * mix
-        words.append(majority(x ^ (x >> np.uint64(32))))
-    return words
+    """WORDS fingerprints of a set, by hashes derived from its shingles' hashes: each bit that is set in over half of them."""
+    if not len(held):
+        return [0] * WORDS
+    x = (held ^ (held >> np.uint64(31)))[:, None] * _MIXES
+    x ^= x >> np.uint64(32)
+    return over_half(x).tolist()
+
+
+def over_half(hashes: np.ndarray) -> np.ndarray:
+    """Of n rows of words, the words of each bit that is set in over half of the rows. Rows are counted bit by bit with
+    carry-save adders: three of one weight make a row of that weight and one of twice the weight."""
+    least, short = len(hashes) // 2 + 1, np.zeros(hashes.shape[1], np.uint64)
+    rows, k = hashes, 0
+    while len(rows):
+        carried = []
+        while len(rows) > 1:
+            m = len(rows) // 3
+            if m:
+                a, b, c = rows[:m], rows[m : 2 * m], rows[2 * m : 3 * m]
+                odd = a ^ b
+                carried.append((a & b) | (odd & c))
+                rows = np.concatenate([odd ^ c, rows[3 * m :]])
+            else:
+                carried.append(rows[:1] & rows[1:])
+                rows = rows[:1] ^ rows[1:]
+        # bit k of each count, from which bit k of the least count is taken with what has been borrowed
+        wanted = np.uint64(2**64 - 1 if least >> k & 1 else 0)
+        short = (~rows[0] & (wanted | short)) | (wanted & short)
+        rows, k = np.concatenate(carried) if carried else rows[:0], k + 1
+    return ~short
 
 
 def _signed(values) -> pa.Array:
@@ -120,7 +144,8 @@ def _within(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _stars(fps: np.ndarray) -> tuple[np.ndarray, bool]:
     """Pairs (a, b, distance) of a large or crowded cell, and whether these are all within RADIUS. Again and again the member
     nearest to the majority of bits is linked to all within RADIUS of it and these go; when such stars are small the rest
-    is compared pair by pair."""
+    is compared pair by pair. Where that gives more than a few pairs for a member, each has its nearest one only: a cell
+    never gives more pairs than so many for a member, whatever its size."""
     left, out, whole = np.arange(len(fps)), [], True
     while len(left) > 1:
         held = fps[left]
@@ -136,7 +161,12 @@ def _stars(fps: np.ndarray) -> tuple[np.ndarray, bool]:
     for k in range(0, len(left), step):
         block = left[k : k + step]
         far = _hamming(fps[block][:, None, :], fps[left][None, :, :])
+        far[np.arange(len(block)), np.arange(k, k + len(block))] = RADIUS + 1
         x, y = np.nonzero((far <= RADIUS) & (block[:, None] < left[None, :]))
+        if len(x) > _CROWDED * len(block):
+            y, whole = far.argmin(axis=1), False
+            x = np.flatnonzero(far[np.arange(len(block)), y] <= RADIUS)
+            y = y[x]
         out.append(np.stack([block[x], left[y], far[x, y]]))
     return np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64), whole
 
@@ -221,14 +251,16 @@ def alike(pairs: DataFrame, docs: DataFrame, items: DataFrame, width: int, thres
 
 
 def _may_be_alike(threshold: float) -> Column:
-    """Whether sizes (n_a, n_b) and whole fingerprints (fp_a, fp_b) allow a pair."""
+    """Whether sizes (n_a, n_b) and whole fingerprints (columns w0_a, w0_b and so on) allow a pair."""
     sizes = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
-    far = sum(F.bit_count(F.get("fp_a", F.lit(k)).bitwiseXOR(F.get("fp_b", F.lit(k)))) for k in range(WORDS))
+    far = sum(F.bit_count(F.col(f"w{k}_a").bitwiseXOR(F.col(f"w{k}_b"))) for k in range(WORDS))
     return sizes & (far <= F.when(F.least("n_a", "n_b") < ROUGH, ROUGH_RADIUS).otherwise(WHOLE_RADIUS))
 
 
 def _side(items: DataFrame, c: str) -> DataFrame:
-    return items.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("fp").alias(f"fp_{c}"))
+    """A word of the fingerprint is a column of its own, so that the compared pairs' code stays small."""
+    words = [F.coalesce(F.get("fp", F.lit(k)), F.lit(0)).alias(f"w{k}_{c}") for k in range(WORDS)]
+    return items.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), *words)
 
 
 def candidates(items: DataFrame) -> DataFrame:
@@ -243,9 +275,12 @@ def links(docs: DataFrame, items: DataFrame, width: int, threshold: float) -> Da
     near = met.where("cell is null").groupBy("a", "b").agg(F.min("f0").alias("far"))
     pairs = written(near.join(_side(items, "a"), "a").join(_side(items, "b"), "b").where(_may_be_alike(threshold)).select("a", "b", "far"), "candidates")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
-    degree = both.groupBy("b").agg(F.count("*").alias("degree"))
-    near = both.join(degree, "b").groupBy("a").agg(F.min(F.struct("far", "b")).alias("near"), F.max(F.struct("degree", "b")).alias("hub"))
-    picked = near.select("a", F.explode(F.array("near.b", "hub.b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    facts = written(both.groupBy("a").agg(F.count("*").alias("degree"), F.min(F.struct("far", "b"))["b"].alias("near")), "degrees")
+    # of a pair's ends the one with more candidates is a middle for the other
+    rank = lambda c: facts.select(F.col("a").alias(c), F.struct("degree", "a").alias(f"r_{c}"))
+    ends = pairs.join(rank("a"), "a").join(rank("b"), "b").select(F.least("r_a", "r_b")["a"].alias("a"), F.greatest("r_a", "r_b").alias("hub"))
+    hubs = ends.groupBy("a").agg(F.max("hub")["a"].alias("b"))
+    picked = facts.select("a", F.col("near").alias("b")).unionByName(hubs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     picked = written(picked, "picked")
     found = written(alike(picked, docs, items, width, threshold), "near_pairs")
     roots = components(found)
@@ -261,12 +296,12 @@ def links(docs: DataFrame, items: DataFrame, width: int, threshold: float) -> Da
 
 
 def across(rows: DataFrame, threshold: float) -> DataFrame:
-    """rows of crowded cells (cell, a, n_a, fp_a, c_a: component) -> a, b: pairs of a cell in different components that
+    """rows of crowded cells (cell, a, n_a, w0_a ..., c_a: component) -> a, b: pairs of a cell in different components that
     sizes and fingerprints allow. All but the cell's commonest component are held against the cell, so a cell of one
     component costs nothing."""
     rows = written(rows, "crowded")
     most = rows.groupBy("cell", "c_a").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max(F.struct("n", "c_a"))["c_a"].alias("main"))
-    others = written(rows.join(most, "cell").where("c_a <> main").select("cell", *[F.col(f"{c}a").alias(f"{c}b") for c in ("", "n_", "fp_", "c_")]), "others")
+    others = written(rows.join(most, "cell").where("c_a <> main").select("cell", *[F.col(f"{c}a").alias(f"{c}b") for c in ("", "n_", "c_", *[f"w{k}_" for k in range(WORDS)])]), "others")
     met = rows.join(others, (rows["cell"] == others["cell"]) & (F.col("c_a") != F.col("c_b")) & _may_be_alike(threshold))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
