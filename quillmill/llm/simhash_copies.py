@@ -142,7 +142,8 @@ def _within(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _stars(fps: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Pairs (a, b, distance) of a large or crowded cell, and whether these are all within RADIUS. Again and again the member
+    """Pairs (middle, member, distance, size of the star or 0) of a large or crowded cell, and whether these are all within
+    RADIUS. Again and again the member
     nearest to the majority of bits is linked to all within RADIUS of it and these go; when such stars are small the rest
     is compared pair by pair. Where that gives more than a few pairs for a member, each has its nearest one only: a cell
     never gives more pairs than so many for a member, whatever its size."""
@@ -155,7 +156,7 @@ def _stars(fps: np.ndarray) -> tuple[np.ndarray, bool]:
         star = (far <= RADIUS) & (np.arange(len(left)) != pivot)
         if star.sum() < max(_CROWDED, len(left) // 64):
             break
-        out.append(np.stack([np.full(star.sum(), left[pivot]), left[star], far[star]]))
+        out.append(np.stack([np.full(star.sum(), left[pivot]), left[star], far[star], np.full(star.sum(), star.sum())]))
         left, whole = left[far > RADIUS], False
     step = max(1, (1 << 21) // max(1, len(left)))
     for k in range(0, len(left), step):
@@ -167,12 +168,12 @@ def _stars(fps: np.ndarray) -> tuple[np.ndarray, bool]:
             y, whole = far.argmin(axis=1), False
             x = np.flatnonzero(far[np.arange(len(block)), y] <= RADIUS)
             y = y[x]
-        out.append(np.stack([block[x], left[y], far[x, y]]))
-    return np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64), whole
+        out.append(np.stack([left[y], block[x], far[x, y], np.full(len(x), 0 if whole else 1)]))
+    return np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64), whole
 
 
 def cell_pairs(cell: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates (a, b: places, distance) of cells that lie one after another, and which places lie in crowded cells."""
+    """Candidates (a, b: places, distance, star) of cells that lie one after another, and which places lie in crowded cells."""
     begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
     size = np.diff(np.append(begin, len(cell)))
     small = np.flatnonzero(np.repeat((size > 1) & (size <= _SMALL), size))
@@ -183,14 +184,14 @@ def cell_pairs(cell: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarra
             break
         a, b = small[at], small[at + step]
         near, far = _within(fps[a], fps[b])
-        out.append(np.stack([a[near], b[near], far]))
-    pairs = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+        out.append(np.stack([a[near], b[near], far, np.zeros_like(far)]))
+    pairs = np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
     number = np.searchsorted(begin, pairs[0], "right") - 1
     crowded = (np.bincount(number, minlength=len(begin)) > _CROWDED * size) | (size > _SMALL)
     out = [pairs[:, ~crowded[number]]]
     for k in np.flatnonzero(crowded).tolist():
         found, whole = _stars(fps[begin[k] : begin[k] + size[k]])
-        out.append(found + np.array([[begin[k]], [begin[k]], [0]]))
+        out.append(found + np.array([[begin[k]], [begin[k]], [0], [0]]))
         crowded[k] = not whole
     return np.concatenate(out, axis=1), np.flatnonzero(np.repeat(crowded, size))
 
@@ -209,18 +210,20 @@ _MET = ["cell", "a", "b", "f0", "f1"]
 
 
 def _meet(batches, least: int = 1 << 18):
-    """Sorted rows (cell, item, f0, f1) -> candidates (a, b; f0: distance) and the rows of crowded cells (cell, a: item). A
-    cell of more than `least` rows is worked in runs, joined by a member; its rows are handed on as those of a crowded one."""
+    """Sorted rows (cell, item, f0, f1) -> candidates (a, b; f0: distance, f1: size of the star in which b is the middle of
+    a crowded cell, else 0) and the rows of crowded cells (cell, a: item). A cell of more than `least` rows is worked in runs, joined by a member; its rows are handed on as those of a crowded one."""
 
     def work(rows, cut):
         pairs, crowded = cell_pairs(rows[0], np.ascontiguousarray(rows[2:].T))
         if cut is not None:
             crowded = np.union1d(crowded, np.flatnonzero(rows[0] == cut))
-        a, b = rows[1][pairs[0]], rows[1][pairs[1]]
+        x, y = rows[1][pairs[0]], rows[1][pairs[1]]
+        starred = pairs[3] > 0
+        a, b = np.where(starred, y, np.minimum(x, y)), np.where(starred, x, np.maximum(x, y))
         none = pa.nulls(1 << 17, pa.int64())
         for k in range(0, len(a), 1 << 17):
-            x, y, far = (v[k : k + (1 << 17)] for v in (a, b, pairs[2]))
-            yield pa.RecordBatch.from_arrays([none[: len(x)], pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(far), none[: len(x)]], _MET)
+            part = [pa.array(np.ascontiguousarray(v[k : k + (1 << 17)])) for v in (a, b, pairs[2], pairs[3])]
+            yield pa.RecordBatch.from_arrays([none[: len(part[0])], *part], _MET)
         for k in range(0, len(crowded), 1 << 17):
             cell, item, f0, f1 = (pa.array(v) for v in rows[:, crowded[k : k + (1 << 17)]])
             yield pa.RecordBatch.from_arrays([cell, item, none[: len(cell)], f0, f1], _MET)
@@ -272,7 +275,12 @@ def candidates(items: DataFrame) -> DataFrame:
 def links(docs: DataFrame, items: DataFrame, width: int, threshold: float) -> DataFrame:
     """items (node, least, n, fp) -> node, component, as all candidates at or above the threshold connect them."""
     met = written(candidates(items), "met")
-    near = met.where("cell is null").groupBy("a", "b").agg(F.min("f0").alias("far"))
+    # a member of stars is held against the nearest middle and that of the largest star; all else that its crowded cells
+    # hold comes in across()
+    stars = met.where("cell is null and f1 > 0").groupBy("a").agg(F.min(F.struct("f0", "b")).alias("near"), F.max(F.struct("f1", "f0", "b")).alias("largest"))
+    middles = stars.select("a", F.explode(F.array(F.struct("near.b", "near.f0"), F.struct("largest.b", "largest.f0"))).alias("m"))
+    whole = met.where("cell is null and f1 = 0").select("a", "b", "f0").unionByName(middles.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b"), "m.f0"))
+    near = whole.groupBy("a", "b").agg(F.min("f0").alias("far"))
     pairs = written(near.join(_side(items, "a"), "a").join(_side(items, "b"), "b").where(_may_be_alike(threshold)).select("a", "b", "far"), "candidates")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
     facts = written(both.groupBy("a").agg(F.count("*").alias("degree"), F.min(F.struct("far", "b"))["b"].alias("near")), "degrees")
@@ -286,7 +294,9 @@ def links(docs: DataFrame, items: DataFrame, width: int, threshold: float) -> Da
     roots = components(found)
     of = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")), c, "left").withColumn(f"c_{c}", F.coalesce(f"c_{c}", c))
     apart = of(of(pairs.select("a", "b"), "a"), "b").where("c_a <> c_b").select("a", "b")
-    crowded = of(met.where("cell is not null").select("cell", "a"), "a").join(_side(items, "a"), "a")
+    # a text lies in at most TABLES cells, so it meets its component and fingerprint as one row
+    held = met.where("cell is not null").groupBy("a").agg(F.collect_set("cell").alias("cells"))
+    crowded = of(held, "a").join(_side(items, "a"), "a").withColumn("cell", F.explode("cells")).drop("cells")
     rest = apart.unionByName(across(crowded, threshold)).distinct()
     rest = written(rest.join(picked, ["a", "b"], "left_anti"), "rest")
     if rest.isEmpty():
