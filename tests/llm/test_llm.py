@@ -484,3 +484,16 @@ def test_bpe_on_random_texts():
         tok = Tokenizer.from_file(path)
         for text, ids in zip(texts, TextEncoder(path).encode_each(pa.array(texts)), strict=True):
             assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_wide_fingerprints_are_majorities():
+    import numpy as np
+
+    from quillmill.llm import simhash_copies
+    from quillmill.llm.simhash import majority
+
+    draw = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 4, 5, 8, 9, 16, 63, 64, 255, 256, 1000):
+        held = np.unique(draw.integers(1 << 63, size=n, dtype=np.uint64))
+        mixed = [(held ^ (held >> np.uint64(31))) * mix for mix in simhash_copies._MIXES]
+        assert simhash_copies.wide_fingerprint(held) == [majority(x ^ (x >> np.uint64(32))) for x in mixed]
