@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import bpe, chat_format, exact_dedup, license_scan, packing, quality, record_files, simhash, substring_dedup, toxicity
+from quillmill.llm import bpe, chat_format, exact_dedup, filter_audit, license_scan, minhash, packing, quality, record_files, simhash, substring_dedup, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -130,6 +130,53 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(_table(spark, sf_dir, "documents"), width=2, per_cent=80)
+
+
+OP11_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS s FROM w),
+c AS (SELECT s, min(doc_id) AS c, len(s) AS n FROM g WHERE len(s) > 0 GROUP BY s),
+e AS (SELECT c, n, unnest(s) AS x FROM c),
+p AS (SELECT a.c AS a, b.c AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM e a JOIN e b ON a.x = b.x AND a.c < b.c AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * shared >= 80 * (na + nb - shared)), k AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT c AS a, c AS b FROM c UNION SELECT r.a, k.b FROM r JOIN k ON r.b = k.a),
+m AS (SELECT a, min(b) AS root FROM r GROUP BY a)
+SELECT doc_id, len(g.s)::BIGINT AS n_shingles, coalesce(root, doc_id) AS component_id, doc_id = coalesce(root, doc_id) AS kept
+FROM g LEFT JOIN c ON g.s = c.s LEFT JOIN m ON c.c = m.a
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"), components=8)
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))  # null where a long can't hold it
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT doc_id, part, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INT
+             + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(CASE WHEN doc_id IS NULL THEN min(doc_id) OVER (PARTITION BY t) IS NOT NULL ELSE doc_id > min(doc_id) OVER (PARTITION BY t) END, false)::INT AS mask FROM d),
+c AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, false)::INT) AS good, sum(coalesce(toxic, false)::INT) AS toxic FROM f LEFT JOIN l ON f.doc_id = l.doc_id GROUP BY part, mask),
+x AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(x, bit)),
+o AS (SELECT x1.x || x2.x || x3.x || x4.x || x5.x AS filter_order, [x1.bit, x2.bit, x3.bit, x4.bit, x5.bit] AS bits
+      FROM x x1 JOIN x x2 ON x2.x <> x1.x JOIN x x3 ON x3.x NOT IN (x1.x, x2.x) JOIN x x4 ON x4.x NOT IN (x1.x, x2.x, x3.x) JOIN x x5 ON x5.x NOT IN (x1.x, x2.x, x3.x, x4.x)),
+s AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS prior FROM (SELECT *, unnest(range(1, 6)) AS step FROM o)),
+r AS (SELECT part, filter_order, step, s.bit, sum(n) FILTER (mask & (prior | bit) = 0) AS kept, sum(n) FILTER (mask & prior = 0 AND mask & bit <> 0) AS removed,
+             sum(n) FILTER (mask & prior <> 0 AND mask & bit <> 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+             sum(good) FILTER (mask & prior = 0 AND mask & bit <> 0) AS good_lost, sum(toxic) FILTER (mask & prior = 0 AND mask & bit <> 0) AS toxic_lost
+      FROM c, s GROUP BY part, filter_order, step, s.bit)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+       coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit)::BIGINT AS shapley
+FROM r
+"""
+
+
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_license_scan": op2_license_scan,
@@ -139,5 +186,10 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,
     "op5_best_fit_packing": op5_best_fit_packing,
-    "op4_chat_format": op4_chat_format, "op6_exact_dedup": op6_exact_dedup}
-ORACLES = {"op2_license_scan": _op2_sql(), "op7_substring_dedup": OP7_SQL, "op4_chat_format": OP4_SQL, "op6_exact_dedup": OP6_SQL}
+    "op4_chat_format": op4_chat_format,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op11_minhash": op11_minhash,
+    "op12_whitening": op12_whitening,
+    "op13_filter_audit": op13_filter_audit,
+}
+ORACLES = {"op2_license_scan": _op2_sql(), "op7_substring_dedup": OP7_SQL, "op4_chat_format": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op11_minhash": OP11_SQL, "op13_filter_audit": OP13_SQL}

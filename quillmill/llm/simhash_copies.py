@@ -1,23 +1,20 @@
 """SimHash near-dedup at a shingle similarity: texts whose sets of word shingles have a Jaccard similarity of `threshold`
-or more.
+per cent or more.
 
 At a similarity of 0.8 a SimHash bit differs with probability 0.15, so such pairs lie far beyond the radius for which the
 grid of simhash.py is exact. The embedding stays the same (bit counts of two-bit segments, Manhattan distance as a lower
-bound of Hamming distance), with wider fingerprints (2,048 bits) and a grid of its own: 256 bits make 128 segments, each of 128 tables
-takes ten of these, and texts with the same counts in a table's segments share a cell. A segment of a pair at 0.8 keeps
-its count with probability 0.73, so the pair meets in some cell with probability 0.99, a pair at 0.9 nearly always; far
-texts share one of 18,000 cells by chance. Within a cell pairs are held against the Manhattan bound and the Hamming
-radius of the first 128 bits; pairs found in any cell that all bits and the sets' sizes allow are the candidates.
+bound of Hamming distance), with wider fingerprints and a grid of its own: 1,024 bits make 512 segments, each of TABLES tables
+takes eight of these, and texts with the same counts in a table's segments share a cell. A segment of a pair at 0.8 keeps
+its count with probability 0.73, so the pair meets in some cell but for one or two of a thousand; far texts share a cell of a
+table by chance once in 2,500 times. Within a cell pairs are held against the Hamming radius of the first 192 bits (29 on average at 0.8, 96 between
+texts without any relation). Sets of a few shingles have rough fingerprints; they meet by a prefix filter as well:
+shingles in the order of their hashes, a pair at the threshold shares one of each other's first n - ceil(0.8 n) + 1, so they
+are found without exception.
 
-Candidates are then verified exactly, by the Jaccard similarity of their shingles (as 64-bit hashes), as far as that can
-change the components. First each text is held against the nearest of its candidates and, of those with more candidates than
-itself, against the one with the most (the middle of its group); after that only candidates in different components are. So the components are those
-of all candidates, at about the cost of a spanning forest. Where a cell is crowded with candidates (a big group of near
-copies) it gives stars around its most central members instead of all pairs; what those stars leave in different
-components is joined within the cell in Spark, whatever the cell's size.
+What meets makes clusters, and all pairs of a cluster are held against their exact similarity, by 64-bit hashes of their
+shingles (see linking.py); so within a group of related texts it doesn't matter whether each pair shares a cell.
 
-Texts of equal shingle sets go as one. Sets of a few shingles have rough fingerprints: of pairs of five shingles and four
-of these, two of three are found.
+Texts of equal shingle sets go as one.
 
 Defined results: a null text has no words and an empty set, and all such are copies; fewer words than a shingle make one
 shingle; a null doc_id sorts after every other one; rows of equal doc_id and text share their verdict (keep_one keeps one
@@ -28,39 +25,28 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.llm import linking
 from quillmill.llm.common import doc_texts, has_repeats, ordered_id, rows_that_stay, text_key, written
-from quillmill.llm.components import components, first_of_each
-from quillmill.llm.simhash import SEED, embed, manhattan, shingle_hashes
+from quillmill.llm.components import first_of_each
+from quillmill.llm.minhash import digest, shingle_set
+from quillmill.llm.simhash import SEED, embed
 from quillmill.llm.tokens import text_slices
 
-#: Words of 64 bits in a fingerprint, those of them that make the cells, and those that travel with the cells.
-WORDS, GRID, CARRIED = 32, 4, 2
-TABLES, SEGMENTS = 128, 10
-#: Bits by which the carried words of alike texts may differ, and all words: 19 and 310 on average at 0.8; more than these
-#: in one pair of a hundred or less. At 0.7 all words differ by 390 bits, so few such pairs are verified in vain.
-RADIUS, WHOLE_RADIUS = 30, 360
-#: Sets of fewer shingles have rough fingerprints: their whole radius, as they are few and cheap to verify.
-ROUGH, ROUGH_RADIUS = 16, 512
-#: Cells up to this size are compared pair by pair; a cell with more candidates than so many for a member gives stars.
-_SMALL, _CROWDED = 256, 2
-_CHOSEN = np.stack([np.random.default_rng(SEED + t).choice(32 * GRID, SEGMENTS, replace=False) for t in range(TABLES)])
+#: Words of 64 bits in a fingerprint, and those of them that travel with the cells.
+WORDS, CARRIED = 16, 3
+TABLES, SEGMENTS = 120, 8
+#: Bits by which the carried words of alike texts may differ: 29 on average at 0.8, with a deviation of 5.
+RADIUS = 52
+#: A pair whose smaller set has up to so many shingles meets by a prefix filter, too.
+FEW = 32
+_CHOSEN = np.stack([np.random.default_rng(SEED + t).choice(32 * WORDS, SEGMENTS, replace=False) for t in range(TABLES)])
 _POWERS = 3 ** np.arange(SEGMENTS)
 _MIXES = np.random.default_rng(SEED).integers(1 << 62, dtype=np.uint64, size=WORDS) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_set(text: str, width: int) -> np.ndarray:
-    """The distinct shingles' hashes, sorted."""
-    return np.unique(shingle_hashes(text, width))
-
-
-def digest(held: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(held.tobytes(), SEED)
-
-
 def wide_fingerprint(held: np.ndarray) -> list[int]:
     """WORDS fingerprints of a set, by hashes derived from its shingles' hashes: each bit that is set in over half of them."""
     if not len(held):
@@ -94,243 +80,69 @@ def over_half(hashes: np.ndarray) -> np.ndarray:
     return ~short
 
 
-def _signed(values) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).view(np.int64))
+def prefix(held: np.ndarray, per_cent: int) -> np.ndarray:
+    """Of a small set those first shingles of which it shares one with any set that is similar enough."""
+    n = len(held)
+    return held[: n - -(-per_cent * n // 100) + 1] if 0 < n * per_cent <= 100 * FEW else held[:0]
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, key, item (digest of the shingle set), n (its size), fp (its fingerprint's words)."""
+def sketches(docs: DataFrame, width: int, per_cent: int) -> DataFrame:
+    """doc_id, key, item (digest of the shingle set), n (its size), fp (its fingerprint's words), first (its prefix)."""
 
     def run(batches):
         for part in (x for b in batches for x in text_slices(b)):
             held = [shingle_set(t.as_py(), width) for t in part.column(1)]
-            fps = pa.FixedSizeListArray.from_arrays(_signed([w for h in held for w in wide_fingerprint(h)]), WORDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), _signed([digest(h) for h in held]), pa.array([len(h) for h in held], pa.int64()), fps], ["doc_id", "key", "item", "n", "fp"])
-
-    return doc_texts(docs, text_key(docs).alias("key")).mapInArrow(run, "doc_id long, key binary, item long, n long, fp array<long>")
-
-
-def sets(docs: DataFrame, width: int) -> DataFrame:
-    """docs (doc_id, text) -> item, shingles: one row per distinct set."""
-
-    def run(batches):
-        for part in (x for b in batches for x in text_slices(b)):
-            for t in part.column(1):
-                held = shingle_set(t.as_py(), width)
-                yield pa.RecordBatch.from_arrays([_signed([digest(held)]), pa.array([held.view(np.int64)], pa.list_(pa.int64()))], ["item", "shingles"])
+            fps = pa.FixedSizeListArray.from_arrays(pa.array(np.array([w for h in held for w in wide_fingerprint(h)], np.uint64).view(np.int64)), WORDS).cast(pa.list_(pa.int64()))
+            first = pa.array([prefix(h, per_cent).view(np.int64) for h in held], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([digest(h) for h in held], pa.int64()), pa.array([len(h) for h in held], pa.int64()), fps, first], ["doc_id", "key", "item", "n", "fp", "first"])
 
-    return docs.mapInArrow(run, "item long, shingles array<long>").groupBy("item").agg(F.first("shingles").alias("shingles"))
+    return doc_texts(docs, text_key(docs).alias("key")).mapInArrow(run, "doc_id long, key binary, item long, n long, fp array<long>, first array<long>")
 
 
 def cells(fps: np.ndarray) -> np.ndarray:
-    """The cell of each fingerprint (n x GRID words) in each table (n x TABLES)."""
-    held = np.ascontiguousarray(embed(fps.reshape(-1))).view(np.uint8).reshape(-1, 8 * GRID)
+    """The cell of each fingerprint (n x WORDS) in each table (n x TABLES)."""
+    held = np.ascontiguousarray(embed(fps.reshape(-1))).view(np.uint8).reshape(-1, 8 * WORDS)
     counts = (held[:, :, None] >> np.arange(0, 8, 2, dtype=np.uint8) & 3).reshape(len(held), -1).astype(np.int64)
     return np.stack([counts[:, chosen] @ _POWERS + t * 3**SEGMENTS for t, chosen in enumerate(_CHOSEN)], axis=1)
 
 
-def _hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=-1, dtype=np.int64)
-
-
-def _within(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs (rows of CARRIED words) are within RADIUS, by the lower bound first, and the distances of those."""
-    bound = sum(manhattan(embed(a[:, w].copy()), embed(b[:, w].copy())) for w in range(a.shape[1]))
-    at = np.flatnonzero(bound <= RADIUS)
-    far = _hamming(a[at], b[at])
-    return at[far <= RADIUS], far[far <= RADIUS]
-
-
-def _stars(fps: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Pairs (middle, member, distance, size of the star or 0) of a large or crowded cell, and whether these are all within
-    RADIUS. Again and again the member
-    nearest to the majority of bits is linked to all within RADIUS of it and these go; when such stars are small the rest
-    is compared pair by pair. Where that gives more than a few pairs for a member, each has its nearest one only: a cell
-    never gives more pairs than so many for a member, whatever its size."""
-    left, out, whole = np.arange(len(fps)), [], True
-    while len(left) > 1:
-        held = fps[left]
-        middle = np.packbits(np.unpackbits(held.view(np.uint8), axis=1).mean(axis=0) > 0.5).view(np.int64)
-        pivot = int(_hamming(held, middle[None]).argmin())
-        far = _hamming(held, held[pivot][None])
-        star = (far <= RADIUS) & (np.arange(len(left)) != pivot)
-        if star.sum() < max(_CROWDED, len(left) // 64):
-            break
-        out.append(np.stack([np.full(star.sum(), left[pivot]), left[star], far[star], np.full(star.sum(), star.sum())]))
-        left, whole = left[far > RADIUS], False
-    step = max(1, (1 << 21) // max(1, len(left)))
-    for k in range(0, len(left), step):
-        block = left[k : k + step]
-        far = _hamming(fps[block][:, None, :], fps[left][None, :, :])
-        far[np.arange(len(block)), np.arange(k, k + len(block))] = RADIUS + 1
-        x, y = np.nonzero((far <= RADIUS) & (block[:, None] < left[None, :]))
-        if len(x) > _CROWDED * len(block):
-            y, whole = far.argmin(axis=1), False
-            x = np.flatnonzero(far[np.arange(len(block)), y] <= RADIUS)
-            y = y[x]
-        out.append(np.stack([left[y], block[x], far[x, y], np.full(len(x), 0 if whole else 1)]))
-    return np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64), whole
-
-
-def cell_pairs(cell: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates (a, b: places, distance, star) of cells that lie one after another, and which places lie in crowded cells."""
-    begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-    size = np.diff(np.append(begin, len(cell)))
-    small = np.flatnonzero(np.repeat((size > 1) & (size <= _SMALL), size))
-    held, out = cell[small], []
-    for step in range(1, _SMALL):
-        at = np.flatnonzero(held[step:] == held[:-step])
-        if not len(at):
-            break
-        a, b = small[at], small[at + step]
-        near, far = _within(fps[a], fps[b])
-        out.append(np.stack([a[near], b[near], far, np.zeros_like(far)]))
-    pairs = np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
-    number = np.searchsorted(begin, pairs[0], "right") - 1
-    crowded = (np.bincount(number, minlength=len(begin)) > _CROWDED * size) | (size > _SMALL)
-    out = [pairs[:, ~crowded[number]]]
-    for k in np.flatnonzero(crowded).tolist():
-        found, whole = _stars(fps[begin[k] : begin[k] + size[k]])
-        out.append(found + np.array([[begin[k]], [begin[k]], [0], [0]]))
-        crowded[k] = not whole
-    return np.concatenate(out, axis=1), np.flatnonzero(np.repeat(crowded, size))
-
-
 def _spread(batches):
     for b in batches:
-        item, fps = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, GRID)
+        item, fps = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, WORDS)
         for k in range(0, len(item), 1024):
             found = cells(fps[k : k + 1024])
             carried = np.repeat(fps[k : k + 1024, :CARRIED], TABLES, axis=0)
             columns = [found.reshape(-1), np.repeat(item[k : k + 1024], TABLES), *carried.T]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["cell", "item", "f0", "f1"])
-
-
-_MET = ["cell", "a", "b", "f0", "f1"]
-
-
-def _meet(batches, least: int = 1 << 18):
-    """Sorted rows (cell, item, f0, f1) -> candidates (a, b; f0: distance, f1: size of the star in which b is the middle of
-    a crowded cell, else 0) and the rows of crowded cells (cell, a: item). A cell of more than `least` rows is worked in runs, joined by a member; its rows are handed on as those of a crowded one."""
-
-    def work(rows, cut):
-        pairs, crowded = cell_pairs(rows[0], np.ascontiguousarray(rows[2:].T))
-        if cut is not None:
-            crowded = np.union1d(crowded, np.flatnonzero(rows[0] == cut))
-        x, y = rows[1][pairs[0]], rows[1][pairs[1]]
-        starred = pairs[3] > 0
-        a, b = np.where(starred, y, np.minimum(x, y)), np.where(starred, x, np.maximum(x, y))
-        none = pa.nulls(1 << 17, pa.int64())
-        for k in range(0, len(a), 1 << 17):
-            part = [pa.array(np.ascontiguousarray(v[k : k + (1 << 17)])) for v in (a, b, pairs[2], pairs[3])]
-            yield pa.RecordBatch.from_arrays([none[: len(part[0])], *part], _MET)
-        for k in range(0, len(crowded), 1 << 17):
-            cell, item, f0, f1 = (pa.array(v) for v in rows[:, crowded[k : k + (1 << 17)]])
-            yield pa.RecordBatch.from_arrays([cell, item, none[: len(cell)], f0, f1], _MET)
-
-    held, n, cut = [], 0, None
-    for b in batches:
-        held.append(np.stack([c.to_numpy() for c in b.columns]))
-        n += b.num_rows
-        if n >= least:
-            rows = np.concatenate(held, axis=1)
-            end = int(np.searchsorted(rows[0], rows[0, -1]))
-            cut = cut if end else int(rows[0, 0])
-            yield from work(rows[:, :end] if end else rows, cut)
-            rest = rows[:, end:] if end else rows[:, -1:]
-            held, n = [rest], rest.shape[1]
-    if n:
-        yield from work(np.concatenate(held, axis=1), cut)
-
-
-def alike(pairs: DataFrame, docs: DataFrame, items: DataFrame, width: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose sets have at least this Jaccard similarity."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    first = items.join(wanted, "node", "left_semi").select("least.id", "least.key")
-    held = written(sets(rows_that_stay(docs, first, text_key(docs), False).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), width), "shingle_sets")
-    side = lambda c: held.select(F.col("item").alias(c), F.col("shingles").alias(f"s_{c}"))
-    both = F.size(F.array_intersect("s_a", "s_b"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(both / (F.size("s_a") + F.size("s_b") - both) >= threshold).select("a", "b")
-
-
-def _may_be_alike(threshold: float) -> Column:
-    """Whether sizes (n_a, n_b) and whole fingerprints (columns w0_a, w0_b and so on) allow a pair."""
-    sizes = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
-    far = sum(F.bit_count(F.col(f"w{k}_a").bitwiseXOR(F.col(f"w{k}_b"))) for k in range(WORDS))
-    return sizes & (far <= F.when(F.least("n_a", "n_b") < ROUGH, ROUGH_RADIUS).otherwise(WHOLE_RADIUS))
-
-
-def _side(items: DataFrame, c: str) -> DataFrame:
-    """A word of the fingerprint is a column of its own, so that the compared pairs' code stays small."""
-    words = [F.coalesce(F.get("fp", F.lit(k)), F.lit(0)).alias(f"w{k}_{c}") for k in range(WORDS)]
-    return items.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), *words)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["cell", "item", *(f"f{j}" for j in range(CARRIED))])
 
 
 def candidates(items: DataFrame) -> DataFrame:
-    """items (node, n, fp) -> what _meet gives."""
-    rows = items.where("n > 0").select("node", F.slice("fp", 1, GRID)).mapInArrow(_spread, "cell long, item long, f0 long, f1 long")
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_meet, ", ".join(f"{c} long" for c in _MET))
-
-
-def links(docs: DataFrame, items: DataFrame, width: int, threshold: float) -> DataFrame:
-    """items (node, least, n, fp) -> node, component, as all candidates at or above the threshold connect them."""
-    met = written(candidates(items), "met")
-    # a member of stars is held against the nearest middle and that of the largest star; all else that its crowded cells
-    # hold comes in across()
-    stars = met.where("cell is null and f1 > 0").groupBy("a").agg(F.min(F.struct("f0", "b")).alias("near"), F.max(F.struct("f1", "f0", "b")).alias("largest"))
-    middles = stars.select("a", F.explode(F.array(F.struct("near.b", "near.f0"), F.struct("largest.b", "largest.f0"))).alias("m"))
-    whole = met.where("cell is null and f1 = 0").select("a", "b", "f0").unionByName(middles.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b"), "m.f0"))
-    near = whole.groupBy("a", "b").agg(F.min("f0").alias("far"))
-    pairs = written(near.join(_side(items, "a"), "a").join(_side(items, "b"), "b").where(_may_be_alike(threshold)).select("a", "b", "far"), "candidates")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
-    facts = written(both.groupBy("a").agg(F.count("*").alias("degree"), F.min(F.struct("far", "b"))["b"].alias("near")), "degrees")
-    # of a pair's ends the one with more candidates is a middle for the other
-    rank = lambda c: facts.select(F.col("a").alias(c), F.struct("degree", "a").alias(f"r_{c}"))
-    ends = pairs.join(rank("a"), "a").join(rank("b"), "b").select(F.least("r_a", "r_b")["a"].alias("a"), F.greatest("r_a", "r_b").alias("hub"))
-    hubs = ends.groupBy("a").agg(F.max("hub")["a"].alias("b"))
-    picked = facts.select("a", F.col("near").alias("b")).unionByName(hubs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    picked = written(picked, "picked")
-    found = written(alike(picked, docs, items, width, threshold), "near_pairs")
-    roots = components(found)
-    of = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")), c, "left").withColumn(f"c_{c}", F.coalesce(f"c_{c}", c))
-    apart = of(of(pairs.select("a", "b"), "a"), "b").where("c_a <> c_b").select("a", "b")
-    # a text lies in at most TABLES cells, so it meets its component and fingerprint as one row
-    held = met.where("cell is not null").groupBy("a").agg(F.collect_set("cell").alias("cells"))
-    crowded = of(held, "a").join(_side(items, "a"), "a").withColumn("cell", F.explode("cells")).drop("cells")
-    rest = apart.unionByName(across(crowded, threshold)).distinct()
-    rest = written(rest.join(picked, ["a", "b"], "left_anti"), "rest")
-    if rest.isEmpty():
-        return roots
-    more = written(alike(rest, docs, items, width, threshold), "near_pairs")
-    return components(found.unionByName(more))
-
-
-def across(rows: DataFrame, threshold: float) -> DataFrame:
-    """rows of crowded cells (cell, a, n_a, w0_a ..., c_a: component) -> a, b: pairs of a cell in different components that
-    sizes and fingerprints allow. All but the cell's commonest component are held against the cell, so a cell of one
-    component costs nothing."""
-    rows = written(rows, "crowded")
-    most = rows.groupBy("cell", "c_a").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max(F.struct("n", "c_a"))["c_a"].alias("main"))
-    others = written(rows.join(most, "cell").where("c_a <> main").select("cell", *[F.col(f"{c}a").alias(f"{c}b") for c in ("", "n_", "c_", *[f"w{k}_" for k in range(WORDS)])]), "others")
-    met = rows.join(others, (rows["cell"] == others["cell"]) & (F.col("c_a") != F.col("c_b")) & _may_be_alike(threshold))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """items (node, n, fp, first) -> a, b: links whose components hold every pair that shares a cell within the radius,
+    and every pair of small sets that share a shingle of their prefixes."""
+    kind = ", ".join(["cell long", "item long", *(f"f{j} long" for j in range(CARRIED))])
+    near = linking.cell_edges(items.where("n > 0").select("node", "fp").mapInArrow(_spread, kind), RADIUS)
+    small = written(items.select(F.col("node").alias("a"), F.explode("first").alias("shingle")), "prefixes")
+    least = small.groupBy("shingle").agg(F.min("a").alias("b"), F.count("*").alias("sets")).where("sets > 1")
+    return near.unionByName(small.join(least, "shingle").where("a <> b").select("a", "b"))
 
 
-def _firsts(docs: DataFrame, rows: DataFrame, width: int, threshold: float) -> DataFrame:
+def _firsts(docs: DataFrame, rows: DataFrame, width: int, per_cent: int) -> DataFrame:
     """rows (of sketches) -> node (item), first (none, id, key): the least row of the item's component."""
-    items = written(rows.groupBy(F.col("item").alias("node")).agg(F.min(ordered_id("key")).alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp")), "items")
-    return first_of_each(items, links(docs, items, width, threshold))
+    items = written(rows.groupBy(F.col("item").alias("node")).agg(F.min(ordered_id("key")).alias("least"), *[F.first(c).alias(c) for c in ("n", "fp", "first")]), "items")
+    plain = items.select("node", "least", "n")
+    sets_of = lambda members: linking.shingle_sets(docs, members.select("least.id", "least.key"), lambda t: shingle_set(t, width), digest)
+    return first_of_each(plain, linking.verified_components(written(candidates(items), "edges"), plain, sets_of, per_cent))
 
 
-def near_dedup(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
+def near_dedup(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, component_id (smallest doc_id reachable)."""
-    rows = written(sketches(docs, width), "sketches")
-    members = _firsts(docs, rows, width, threshold).select(F.col("node").alias("item"), F.col("first.id").alias("component_id"))
+    rows = written(sketches(docs, width, per_cent), "sketches")
+    members = _firsts(docs, rows, width, per_cent).select(F.col("node").alias("item"), F.col("first.id").alias("component_id"))
     return rows.select("doc_id", "item").join(members, "item").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
     """The rows of docs, with all their columns, that are the first of their component by doc_id and text."""
-    rows = written(sketches(docs, width), "sketches")
-    stay = written(_firsts(docs, rows, width, threshold).select("first.*").distinct(), "stay")
+    rows = written(sketches(docs, width, per_cent), "sketches")
+    stay = written(_firsts(docs, rows, width, per_cent).select("first.*").distinct(), "stay")
     return rows_that_stay(docs, stay, text_key(docs), has_repeats(rows))
