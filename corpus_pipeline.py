@@ -22,7 +22,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
-    return simhash_copies.keep_one(docs, width=5, threshold=0.8)
+    return simhash_copies.keep_one(docs, width=5, per_cent=80)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
