@@ -106,7 +106,7 @@ def scores(docs: DataFrame, query: str, phrases: bool = True, proximity: bool =
     rows = counted.where(candidate).crossJoin(F.broadcast(stats))  # one row
     zero = F.lit(0.0)
     bm25 = sum((F.when(F.col(f"tf{distinct.index(t)}") > 0, idf(F.col("n"), F.col(f"df{distinct.index(t)}")) * term_part(F.col(f"tf{distinct.index(t)}"), F.col("dl"), F.col("avgdl"))).otherwise(0.0) for t in wanted), zero)
-    close = _proximity(len(distinct)) * PROXIMITY_WEIGHT if near else zero
+    close = proximity_of([f"at{j}" for j in range(len(distinct))]) * PROXIMITY_WEIGHT if near else zero
     scored = rows.select("doc_id", bm25.alias("bm25"), (F.col("phrase_hits") * PHRASE_BOOST).alias("phrase"), close.alias("proximity"))
     return scored.withColumn("score", F.col("bm25") + F.col("phrase") + F.col("proximity")).where("score > 0")
 
@@ -139,14 +139,10 @@ def _has_phrase(quoted: list[list[str]]) -> Column:
     return found
 
 
-def _proximity(n: int) -> Column:
-    """From the least distance of each two query terms: 1 if they all touch, 1 - mean / 5 up to 5 words between, 0.1
-    beyond, 0 if a term is missing."""
-    gaps = []
-    for a in range(n):
-        for b in range(a + 1, n):
-            gap = _least_gap(f"at{a}", f"at{b}")
-            gaps.append(gap)
+def proximity_of(places: list[str]) -> Column:
+    """From the least distance of each two query terms (columns of their places): 1 if they all touch, 1 - mean / 5 up to
+    5 words between, 0.1 beyond, 0 if a term is missing."""
+    gaps = [_least_gap(a, b) for k, a in enumerate(places) for b in places[k + 1 :]]
     mean = sum(gaps[1:], gaps[0]) / len(gaps)
     return F.when(mean.isNull(), 0.0).when(mean == 0, 1.0).when(mean <= 5, 1 - mean / 5).otherwise(0.1)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,41 +25,78 @@ def top_k(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", c
     return vectors.select(key, F.round(cosine(F.col(column), literal), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool = False, block: int = 1024) -> DataFrame:
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Of length 1; a vector without length stays 0."""
+    size = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, size, out=np.zeros_like(vectors), where=size > 0)
+
+
+def best_of(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, skip_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query_id, vec_id, score of each query's k nearest of these vectors, by score then id."""
+    norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
+    scores = np.round(np.divide(q @ v.T, norms, out=np.zeros(norms.shape), where=norms > 0), 6)
+    if skip_self:
+        scores[query_ids[:, None] == ids[None, :]] = -np.inf
+    if k < len(ids):  # all that tie with the k-th stay in, then ids decide
+        least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+    else:
+        least = np.full((len(q), 1), -2.0)
+    row, at = np.nonzero((scores >= least) & (scores > -np.inf))
+    order = np.lexsort((ids[at], -scores[row, at], row))
+    row, at = row[order], at[order]
+    first = np.searchsorted(row, np.arange(len(q)))
+    keep = np.arange(len(row)) - first[row] < k
+    return query_ids[row[keep]], ids[at[keep]], scores[row[keep], at[keep]]
+
+
+def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool = False, block: int = 32_768) -> DataFrame:
     """queries (query_id, embedding) x vectors (vec_id, embedding) -> query_id, vec_id, score, rank.
 
-    A stated query set against all rows: queries come in blocks of `block`; each block meets every batch of vectors as
-    one matrix product, and a task passes on its own k best for a query."""
-    asked = queries.select("query_id", F.col("embedding").alias("q"))
-    numbered = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.greatest(F.lit(1), F.ceil(F.lit(asked.count()) / block))).cast("int"))
-    blocks = numbered.groupBy("block").agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
-
-    def near(batches):
-        for pdf in batches:
-            for asked_block, part in pdf.groupby("block"):
-                held = part["asked"].iloc[0]
-                q = np.array([r["q"] for r in held], float).reshape(len(held), -1)
-                ids = [r["query_id"] for r in held]
-                for _, row in part.iterrows():
-                    v = np.array([r["embedding"] for r in row["items"]], float).reshape(len(row["items"]), -1)
-                    vid = np.array([r["vec_id"] for r in row["items"]], np.int64)
-                    norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
-                    scores = np.round(np.divide(q @ v.T, norms, out=np.zeros(norms.shape), where=norms > 0), 6)
-                    out = []
-                    for i, query_id in enumerate(ids):
-                        allowed = vid != query_id if skip_self else np.ones(len(vid), bool)
-                        order = np.lexsort((vid[allowed], -scores[i, allowed]))[:k]
-                        out.append(pd.DataFrame({"query_id": query_id, "vec_id": vid[allowed][order], "score": scores[i, allowed][order]}))
-                    yield pd.concat(out)
-
-    # vectors in rows of about 1024, each of which meets each block
-    groups = vectors.select(F.floor(F.monotonically_increasing_id() / 1024).alias("g"), F.struct("vec_id", "embedding").alias("item")).groupBy("g").agg(F.collect_list("item").alias("items"))
-    met = groups.join(blocks).select("block", "asked", "items")
-    best = met.mapInPandas(near, "query_id long, vec_id long, score double")
+    A stated query set against all rows, exactly: queries come in blocks of about `block` vectors, each of which travels to the
+    tasks of one scan over the vectors, so no vector is shuffled and nothing is joined. A task meets its batches as matrix
+    products and passes on its own k best for a query. For many queries see `vector_index`."""
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
+    n_blocks = max(1, -(-asked.count() // block))
+    held = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    found = [held.mapInArrow(_nearest(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).toArrow(), k, skip_self), "query_id long, vec_id long, score double") for b in range(n_blocks)]
+    best = found[0]
+    for more in found[1:]:
+        best = best.unionByName(more)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _nearest(asked: pa.Table, k: int, skip_self: bool, rows: int = 1024):
+    """The function of a scan: each query's k best of a task's vectors."""
+    q_ids = asked.column(0).to_numpy()
+    q = np.array(asked.column(1).to_pylist(), float).reshape(len(q_ids), -1)
+
+    def run(batches):
+        best = None
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                part = b.slice(at, rows)
+                v = np.array(part.column(1).to_pylist(), float).reshape(part.num_rows, -1)
+                for j in range(0, len(q_ids), rows):
+                    now = best_of(q_ids[j : j + rows], q[j : j + rows], part.column(0).to_numpy(), v, k, skip_self)
+                    best = now if best is None else tuple(np.concatenate(x) for x in zip(best, now, strict=True))
+                if best is not None and len(best[0]) > 4 * k * len(q_ids):
+                    best = _kept(best, k)
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _kept(best, k)], ["query_id", "vec_id", "score"])
+
+    return run
+
+
+def _kept(best: tuple, k: int) -> tuple:
+    """Each query's k best of these rows."""
+    query_id, vec_id, score = best
+    order = np.lexsort((vec_id, -score, query_id))
+    query_id = query_id[order]
+    keep = np.arange(len(order)) - np.searchsorted(query_id, query_id) < k
+    return query_id[keep], vec_id[order][keep], score[order][keep]
+
+
 def mmr(results: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
     """results (query_id, doc_id, score, words) -> query_id, doc_id, mmr_rank: greedy choice of the item with the
     greatest weight * score + (1 - weight) * (1 - greatest Jaccard similarity with those chosen); ties go to the better
