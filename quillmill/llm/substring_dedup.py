@@ -387,7 +387,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, grain: int = 8, **how: int)
     texts = _keyed(docs, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     ranges = repeated_ranges(texts.drop("row"), width, grain, **how)
     joined = texts.join(ranges, ["doc_id", "text_hash"], "left").select("row.*", "ranges")
-    at = docs.columns.index("text")
+    at = [c.lower() for c in docs.columns].index("text")
 
     def run(batches):
         for batch in batches:

@@ -94,16 +94,14 @@ def fit_link(category: str, sets: list[set[bytes]], y: np.ndarray, before: np.nd
     return Link(category, dict(zip(chosen, w.tolist(), strict=True)), v.tolist(), float(c))
 
 
-def fit_chain(sets: list[set[bytes]], labels: dict[str, np.ndarray], folds: int = 5, most: int = 5_000) -> list[Link]:
-    """A chain over the categories of `labels`, in their order."""
+def fit_chain(sets: list[set[bytes]], labels: dict[str, np.ndarray], folds: int = 5, most: int = 5_000) -> tuple[list[Link], np.ndarray]:
+    """A chain over the categories of `labels`, in their order, and the out-of-fold probabilities (a column for each)."""
     n = len(sets)
     fold = np.arange(n) % folds
     before = np.zeros((n, 0))
     chain = []
-    for k, (category, y) in enumerate(labels.items()):
+    for category, y in labels.items():
         chain.append(fit_link(category, sets, y, before, most))
-        if k + 1 == len(labels):
-            break
         held_out = np.zeros(n)
         for f in range(folds):
             inside = np.flatnonzero(fold != f)
@@ -111,7 +109,17 @@ def fit_chain(sets: list[set[bytes]], labels: dict[str, np.ndarray], folds: int
             for i in np.flatnonzero(fold == f).tolist():
                 held_out[i] = part.probability(sets[i], before[i].tolist())
         before = np.column_stack([before, held_out])
-    return chain
+    return chain, before
+
+
+#: Thresholds to choose from, and the share of documents without the label that a threshold may reject out of fold.
+THRESHOLDS, FALSE_ALARMS = (0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5), 0.005
+
+
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The least threshold with few enough false alarms among these (out-of-fold) probabilities; the greatest if none has."""
+    clean = p[y == 0]
+    return next((t for t in THRESHOLDS if len(clean) and (clean >= t).mean() <= FALSE_ALARMS), THRESHOLDS[-1])
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], per_class: int) -> tuple[list[set[bytes]], dict[str, np.ndarray]]:
@@ -149,17 +157,20 @@ def default_categories() -> dict[str, Column]:
     return {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, per_class: int = 4_000) -> list[Link]:
-    """The chain. The last model's intercept is moved from the sample's share of positives to that of all labels."""
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, per_class: int = 4_000) -> tuple[list[Link], float]:
+    """The chain, and the last category's threshold as its out-of-fold probabilities say. The last model's intercept is
+    moved from the sample's share of positives to that of all labels, and those probabilities with it."""
     categories = categories or default_categories()
     sets, y = training_sample(docs, labels, categories, per_class)
-    chain = fit_chain(sets, y)
+    chain, held_out = fit_chain(sets, y)
     last = list(categories)[-1]
     shares = {r.y: r["count"] for r in labels.select(categories[last].cast("int").alias("y")).groupBy("y").count().where("y in (0, 1)").collect()}
-    n_yes = float(y[last].sum())
+    n_yes, moved = float(y[last].sum()), 0.0
     if min(n_yes, len(sets) - n_yes, shares.get(0, 0), shares.get(1, 0)) > 0:
-        chain[-1].intercept += math.log(shares[1] / shares[0]) - math.log(n_yes / (len(sets) - n_yes))
-    return chain
+        moved = math.log(shares[1] / shares[0]) - math.log(n_yes / (len(sets) - n_yes))
+        chain[-1].intercept += moved
+    p = np.clip(held_out[:, -1], 1e-12, 1 - 1e-12)
+    return chain, best_threshold(1 / (1 + (1 - p) / p * math.exp(-moved)), y[last])
 
 
 def score(docs: DataFrame, chain: list[Link]) -> DataFrame:
@@ -179,15 +190,18 @@ def score(docs: DataFrame, chain: list[Link]) -> DataFrame:
     return doc_texts(docs).mapInArrow(run, ", ".join(["doc_id long", *(f"{x} double" for x in names)]))
 
 
-def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = 4_000) -> DataFrame:
-    """doc_id, p_low_quality, p_toxic, toxic (p_toxic >= threshold) and kept of every row of docs."""
-    scored = score(docs, train(docs, labels, per_class=per_class))
-    return scored.withColumn("toxic", F.col("p_toxic") >= threshold).withColumn("kept", ~F.col("toxic"))
+def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float | None = None, per_class: int = 4_000) -> DataFrame:
+    """doc_id, p_low_quality, p_toxic, toxic (p_toxic >= threshold; chosen out of fold if not given) and kept of every row
+    of docs."""
+    chain, chosen = train(docs, labels, per_class=per_class)
+    return score(docs, chain).withColumn("toxic", F.col("p_toxic") >= (chosen if threshold is None else threshold)).withColumn("kept", ~F.col("toxic"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = 4_000) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float | None = None, per_class: int = 4_000) -> DataFrame:
     """The rows of docs, with all their columns, that reject_toxic keeps; no shuffle."""
-    chain, at = train(docs, labels, per_class=per_class), docs.columns.index("text")
+    chain, chosen = train(docs, labels, per_class=per_class)
+    least = chosen if threshold is None else threshold
+    at = [c.lower() for c in docs.columns].index("text")
 
     def run(batches):
         for batch in batches:
@@ -196,7 +210,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_c
                 found, before = features(text.as_py() or ""), []
                 for link in chain:
                     before.append(link.probability(found, before))
-                keep.append(before[-1] < threshold)
+                keep.append(before[-1] < least)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

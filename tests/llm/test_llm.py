@@ -181,8 +181,43 @@ def test_toxicity_chain_uses_out_of_fold_probabilities():
     rows = _toxic_rows(300, 2)
     sets = [toxicity.features(r[1]) for r in rows]
     y = {"toxic": np.array([r[3] for r in rows], float), "same": np.array([r[3] for r in rows], float)}
-    chain = toxicity.fit_chain(sets, y)
-    assert [x.category for x in chain] == ["toxic", "same"] and chain[1].earlier[0] > 0
+    chain, held_out = toxicity.fit_chain(sets, y)
+    assert [x.category for x in chain] == ["toxic", "same"] and chain[1].earlier[0] > 0 and held_out.shape == (300, 2)
+
+
+def test_toxicity_probabilities_are_those_of_the_weights(spark, docs_of):
+    rows = _toxic_rows(200, 7)
+    labels = spark.createDataFrame([(r[0], r[2], r[3]) for r in rows[:150]], "doc_id long, quality int, toxic int")
+    docs = docs_of([r[:2] for r in rows])
+    chain, threshold = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in toxicity.reject_toxic(docs, labels).collect()}
+    for k, text, _, _ in rows:
+        low, toxic = chain
+        found = toxicity.features(text)
+        p = 1 / (1 + np.exp(-(low.intercept + sum(w for f, w in low.weights.items() if f in found))))
+        q = 1 / (1 + np.exp(-(toxic.intercept + sum(w for f, w in toxic.weights.items() if f in found) + toxic.earlier[0] * p)))
+        assert abs(got[k].p_low_quality - p) < 1e-9 and abs(got[k].p_toxic - q) < 1e-9 and got[k].toxic == (q >= threshold)
+
+
+def test_a_fold_never_sees_its_own_labels():
+    r = random.Random(9)
+    # each document has a word of its own beside those that all share: whoever saw a label would know it by that word
+    sets = [{b"own%d" % (k // 5), b"all"} for k in range(100)]
+    y = np.array([r.random() < 0.5 for _ in range(100)], float)
+    turned = y.copy()
+    turned[::5] = 1 - turned[::5]  # the labels of fold 0
+    held, other = (toxicity.fit_chain(sets, {"x": v})[1][:, 0] for v in (y, turned))
+    assert (held[::5] == other[::5]).all() and (held[1::5] != other[1::5]).any()
+
+
+def test_the_threshold_follows_the_false_alarms():
+    y = np.array([1] * 50 + [0] * 1000)
+    sure = np.concatenate([np.full(50, 0.9), np.full(1000, 0.01)])
+    assert toxicity.best_threshold(sure, y) == 0.05
+    noisy = sure.copy()
+    noisy[60:70] = 0.25
+    assert toxicity.best_threshold(noisy, y) == 0.3
+    assert toxicity.best_threshold(np.full(1050, 0.99), y) == 0.5 and toxicity.best_threshold(np.array([]), np.array([])) == 0.5
 
 
 def test_toxicity_without_labels(spark, docs, none):

@@ -5,6 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from quillmill.llm import common, linking, simhash_copies
 from quillmill.llm.common import written
 from tests.llm.test_llm import _toxic_rows, prose
 
@@ -84,3 +85,86 @@ def test_near_stage_finds_copies_at_080_to_095(spark, docs_of):
             left -= step
             todo += step
     assert kept == wanted | parts
+
+
+def _components(texts):
+    """Of doc_id -> text: doc_id -> the smallest of its component, by brute force."""
+    sets = {d: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for d, t in texts.items() if (w := t.split())}
+    left, out = set(sets), {}
+    while left:
+        todo, seen = [left.pop()], set()
+        while todo:
+            at = todo.pop()
+            seen.add(at)
+            near = {d for d in left if 5 * len(sets[at] & sets[d]) >= 4 * len(sets[at] | sets[d])}
+            left -= near
+            todo += near
+        out |= dict.fromkeys(seen, min(seen))
+    return out
+
+
+def _near(spark, docs_of, rows):
+    return {r.doc_id: r.component_id for r in simhash_copies.near_dedup(docs_of(rows)).collect()}
+
+
+def test_near_stage_finds_short_texts(spark, docs_of):
+    """Texts of 5 to 40 words against themselves less a word or two: no link at 0.8 is lost."""
+    rows = []
+    for k in range(400):
+        words = [f"t{k}x{j}" for j in range(5 + k % 36)]
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(words[:-1])), (3 * k + 2, " ".join(words[1:]))]
+    assert _near(spark, docs_of, rows) == _components(dict(rows))
+
+
+def _loose_group(n, changes=6):
+    base = [f"b{j}" for j in range(400)]
+    rows = []
+    for k in range(n):
+        r = random.Random(k)
+        words = list(base)
+        for at in r.sample(range(400), changes):
+            words[at] = f"own{k}x{at}"
+        rows.append((k, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("members", [1024, 100])
+def test_near_stage_keeps_every_link_of_a_loose_group(spark, docs_of, monkeypatch, members):
+    """500 texts, each six changes from a common one, so that most pairs lie just below 0.8 and few above."""
+    monkeypatch.setattr(linking, "_MEMBERS", members)
+    rows = _loose_group(500)
+    assert _near(spark, docs_of, rows) == _components(dict(rows))
+
+
+def test_a_loose_group_makes_no_rows_of_its_pairs(spark, docs_of, monkeypatch):
+    """Of groups of 300, 600 and 1,200 texts just below 0.8 the rows that leave a step grow with the group."""
+    made = []
+    for n in (300, 600, 1200):
+        held = []
+
+        def written(df, name, held=held):
+            out = common.written(df, name)
+            held.append(out.count())
+            return out
+
+        monkeypatch.setattr(linking, "written", written)
+        monkeypatch.setattr(simhash_copies, "written", written)
+        assert len(_near(spark, docs_of, _loose_group(n, 9))) == n
+        made.append(max(held))
+    assert made[2] <= 5 * made[0] and made[2] <= 3 * 1200
+
+
+def test_stages_and_run_on_no_documents_and_awkward_ones(spark, docs_of, tmp_path):
+    from tests.llm.test_llm import ROWS
+
+    labels = spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(d, t, None, "", 0) for d, t in ROWS], "doc_id long, Text string, lang string, source string, n_chars long")
+    for table in (docs, docs.where("false")):
+        held = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            held = written(stage(spark, held, f"file://{tmp_path}"), name)
+            assert [c.lower() for c in held.columns] == [c.lower() for c in docs.columns]
+        assert corpus_pipeline.STAGES[-1][1](spark, held, "").count() >= held.count()
+    docs.where("false").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
