@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
 from quillmill.operators import bm25, duplicates
+from quillmill.operators.storage import stored
 
 # Stop words of the relevance score and the marks of an attribution.
 RELEVANCE_STOPWORDS = "the a an and or but in on at to for of with by is are was were be been have has had do does did will would could should".split()
@@ -66,9 +67,9 @@ def authority_connections(docs: DataFrame, threshold: float = 0.2, least: float
     documents of equal key terms, named by its smallest doc_id; n_connections is how many other documents of more authority
     than `least` are at least this similar, nearest_id the most similar other class that holds such a document. Classes are
     compared, in blocks, so copies cost nothing; a document without key terms is its own class without connections."""
-    sets = duplicates.term_sets(docs, "authority")
+    sets = stored(duplicates.term_sets(docs, "authority"), "term_sets")
     strong = F.coalesce(F.col("authority") > least, F.lit(False))
-    classes = sets.groupBy("terms").agg(F.min("doc_id").alias("item"), F.count_if(strong).alias("weight"))
+    classes = stored(sets.groupBy("terms").agg(F.min("doc_id").alias("item"), F.count_if(strong).alias("weight")), "classes")
     found = duplicates.search_sets(classes.where("weight > 0"), classes.select(F.col("item").alias("query_id"), "terms"), threshold, False, 1)
     best = F.max_by("item", F.struct("similarity", (-F.col("item")).alias("_")))
     links = found.groupBy(F.col("query_id").alias("item")).agg(F.sum("n").alias("others"), best.alias("nearest_id"))

@@ -6,12 +6,17 @@ are. Documents with equal sets are one class and are joined as one."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
+from quillmill.operators.storage import stored
+from quillmill.operators.vector import best_rows
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -41,7 +46,7 @@ def similar_classes(sets: DataFrame, threshold: float, strict: bool = False) ->
     """sets (item, terms: distinct sets) -> a, b (a < b), similarity of every pair at or above (strict: above)."""
     freq = sets.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     each = sets.select("item", F.explode("terms").alias("term")).join(freq, "term")
-    ordered = each.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "term"))), lambda x: x["term"]).alias("terms"))
+    ordered = stored(each.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "term"))), lambda x: x["term"]).alias("terms")), "ordered_terms")
     n = F.size("terms")
     heads = ordered.select("item", "terms", F.explode(F.slice("terms", F.lit(1), n - F.ceil(n * threshold).cast("int") + 1)).alias("term"))
     a, b = heads.select(*[F.col(c).alias(f"a_{c}") for c in ("item", "terms")], "term"), heads.select(*[F.col(c).alias(f"b_{c}") for c in ("item", "terms")], "term")
@@ -53,19 +58,29 @@ def similar_classes(sets: DataFrame, threshold: float, strict: bool = False) ->
     return scored.where(F.col("similarity") > threshold if strict else F.col("similarity") >= threshold)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.85, band: float = 0.3, longest: int | None = None) -> DataFrame:
+def sized_term_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, terms, length of the text. Worth storing where several operators take it."""
+    return term_sets(docs.select("doc_id", "text", F.length(T.text("text")).alias("length")), "length")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.85, band: float = 0.3, longest: int | None = None, sets: DataFrame | None = None) -> DataFrame:
     """doc_id, class_id, n_links. A class is the documents of equal terms and length; its id is its smallest doc_id.
     Links: other documents of similarity >= threshold whose lengths differ by at most `band` of the longer one. With
     `longest`, documents of that many characters and more ask for no links; they are still found by shorter ones."""
-    sets = term_sets(docs.select("doc_id", "text", F.length(T.text("text")).alias("length")), "length")
+    sets = stored(sized_term_sets(docs), "term_sets") if sets is None else sets
     classes = sets.groupBy("terms", "length").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size"))
-    by_terms = classes.groupBy("terms").agg(F.min("class_id").alias("item"), F.collect_list(F.struct("class_id", "length", "size")).alias("members"))
-    pairs = similar_classes(by_terms.select("item", "terms"), threshold).select("a", "b")
+    classes = stored(classes, "classes")
+    by_terms = stored(classes.groupBy("terms").agg(F.min("class_id").alias("item")), "by_terms")
+    pairs = stored(similar_classes(by_terms, threshold).select("a", "b"), "pairs")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(by_terms.select(F.col("item").alias("a"), F.col("item").alias("b")))
-    held = by_terms.select("item", F.explode("members").alias("m")).select("item", "m.*")
+    held = stored(classes.join(by_terms, "terms").select("item", "class_id", "length", "size"), "members")
     left = held.select(F.col("item").alias("a"), F.col("class_id"), F.col("length").alias("l"))
     right = held.select(F.col("item").alias("b"), F.col("length").alias("r"), F.col("size"))
-    near = both.join(left, "a").join(right, "b").where(F.abs(F.col("l") - F.col("r")) <= band * F.greatest("l", "r"))
+    # lengths within the band lie in the same step of its logarithm or in neighbouring ones, so classes of one term set meet
+    # by it and by step, not each with all
+    step = lambda c: F.floor(F.ln(F.greatest(F.col(c), F.lit(1))) / (-1.001 * math.log(1 - band))).cast("int")
+    left = left.withColumn("step", F.explode(F.sequence(step("l") - 1, step("l") + 1)))
+    near = both.join(left, "a").join(right.withColumn("step", step("r")), ["b", "step"]).where(F.abs(F.col("l") - F.col("r")) <= band * F.greatest("l", "r"))
     asks = near if longest is None else near.where(F.col("l") < longest)
     links = asks.groupBy("class_id").agg((F.sum("size") - 1).alias("n_links"))
     of = sets.join(classes.select("terms", "length", "class_id"), ["terms", "length"]).select("doc_id", "class_id")
@@ -73,61 +88,75 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, band: float = 0.3,
     return found.join(links, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def search_sets(sets: DataFrame, queries: DataFrame, least: float, strict: bool, k: int, block: int = 1024, group: int = 16_384) -> DataFrame:
-    """sets (item, terms, weight: 1 if not given) x queries (query_id, terms) -> query_id, item, similarity, n, where n is
-    the weight of the items of the row's group of sets that pass the threshold; of each group the k most similar.
+def search_sets(sets: DataFrame, queries: DataFrame, least: float, strict: bool, k: int, block: int = 32_768) -> DataFrame:
+    """sets (item, terms, weight: 1 if not given) x queries (query_id, terms) -> query_id, item, similarity, n: of each task over
+    the sets, a query's k most similar ones, and the weight of all its sets that pass the threshold (the same in each of
+    these rows, so it adds up over tasks where k is 1).
 
-    A stated query set against all sets: queries come in blocks, sets in groups; a block's term lists are counted
-    together for each set, so no pair is a row unless it is among a group's k best."""
-    sizes = (max(1, -(-queries.count() // block)), max(1, -(-sets.count() // group)))
+    A stated query set against all sets: queries come in blocks of about `block`, whose inverted lists travel to the tasks of one
+    scan over the sets. What terms a set shares with all queries of a block is counted at once, in arrays; nothing is joined or
+    shuffled but the results. Terms are compared by 64-bit hashes."""
     weighted = sets if "weight" in sets.columns else sets.withColumn("weight", F.lit(1))
-    gathered = lambda df, n, c, name, *more: df.groupBy(F.pmod(F.xxhash64(c), F.lit(n)).alias("g")).agg(F.collect_list(F.struct(F.col(c).alias("id"), "terms", *more)).alias(name))
-    # each group of sets goes to each block of queries, by the block's number
-    held = gathered(weighted, sizes[1], "item", "held", "weight").select("held", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sizes[0] - 1).cast("long"))).alias("g"))
-    met = held.join(gathered(queries, sizes[0], "query_id", "asked"), "g").select("held", "asked")
+    hashes = F.transform("terms", lambda t: F.xxhash64(t)).alias("hashes")
+    held = weighted.select("item", hashes, F.col("weight").cast("long").alias("weight"))
+    asked = stored(queries.select(F.col("query_id").cast("long").alias("query_id"), hashes), "asked")
+    n_blocks = max(1, -(-asked.count() // block))
+    kind = "query_id long, item long, similarity double, n long"
+    found = [held.mapInArrow(_sharing(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).toArrow(), least, strict, k), kind) for b in range(n_blocks)]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _sharing(asked: pa.Table, least: float, strict: bool, k: int, cells: int = 1 << 22):
+    """The function of a scan over sets: rows (item, hashes, weight) against the inverted lists of these queries."""
+    asked = asked.combine_chunks()
+    ids = asked.column(0).to_numpy()
+    lists = asked.column(1).combine_chunks()
+    q_size = np.diff(lists.offsets.to_numpy()) if len(ids) else np.zeros(0, np.int64)
+    flat = lists.flatten().to_numpy() if len(ids) else np.zeros(0, np.int64)
+    order = np.argsort(flat, kind="stable")
+    terms, begin, df = np.unique(flat[order], return_index=True, return_counts=True)
+    posted = np.repeat(np.arange(len(ids)), q_size)[order]
+
+    def shared(hashes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        """rows x queries: how many terms they share."""
+        at = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
+        hit = terms[at] == hashes
+        at, row = at[hit], row[hit]
+        n = df[at]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[at], n)
+        return np.bincount(np.repeat(row, n) * len(ids) + posted[place], minlength=rows * len(ids)).reshape(rows, len(ids))
 
     def run(batches):
-        for batch in batches:
-            for held, asked in zip(batch.column(0), batch.column(1), strict=True):
-                held, asked = held.as_py(), asked.as_py()
-                lists: dict[str, list[int]] = {}
-                for q, row in enumerate(asked):
-                    for t in row["terms"]:
-                        lists.setdefault(t, []).append(q)
-                arrays = {t: np.array(v) for t, v in lists.items()}
-                q_size = np.array([len(r["terms"]) for r in asked])
-                found = []
-                for row in held:
-                    hit = [arrays[t] for t in row["terms"] if t in arrays]
-                    if hit:
-                        both = np.bincount(np.concatenate(hit), minlength=len(asked))
-                        alike = np.round(both / (q_size + len(row["terms"]) - both), 6)
-                        for q in np.flatnonzero(alike > least if strict else alike >= least).tolist():
-                            if asked[q]["id"] != row["id"]:
-                                found.append((q, -alike[q], row["id"], row["weight"]))
-                if not found:
-                    continue
-                table = np.array(found)
-                order = np.lexsort((table[:, 2], table[:, 1], table[:, 0]))
-                q = table[order, 0].astype(int)
-                begin = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
-                runs = np.diff(np.concatenate([begin, [len(q)]]))
-                n = np.add.reduceat(table[order, 3].astype(np.int64), begin)
-                at = np.arange(len(q)) - np.repeat(begin, runs)
-                best = order[at < k]
-                ids = np.array([r["id"] for r in asked])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[table[best, 0].astype(int)]), pa.array([found[j][2] for j in best.tolist()], pa.int64()), pa.array(-table[best, 1]), pa.array(np.repeat(n, runs)[at < k])],
-                    ["query_id", "item", "similarity", "n"],
-                )
-
-    return met.mapInArrow(run, "query_id long, item long, similarity double, n long")
+        total, best, held = np.zeros(len(ids), np.int64), [], 0
+        step = max(1, cells // max(1, len(ids)))
+        for b in batches:
+            for k0 in range(0, b.num_rows if len(terms) else 0, step):
+                part = b.slice(k0, step)
+                item, weight = part.column(0).to_numpy(), part.column(2).to_numpy()
+                size = pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False)
+                both = shared(part.column(1).flatten().to_numpy(), np.repeat(np.arange(len(item)), size), len(item))
+                alike = np.round(both / (q_size[None, :] + size[:, None] - both), 6)
+                row, q = np.nonzero((both > 0) & (alike > least if strict else alike >= least) & (item[:, None] != ids[None, :]))
+                np.add.at(total, q, weight[row])
+                best.append((q, item[row], alike[row, q]))
+                held += len(row)
+                if held > 4 * k * len(ids) + (1 << 20):
+                    best = [best_rows(tuple(np.concatenate(x) for x in zip(*best, strict=True)), k)]
+                    held = len(best[0][0])
+        if best:
+            q, item, alike = best_rows(tuple(np.concatenate(x) for x in zip(*best, strict=True)), k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(item), pa.array(alike), pa.array(total[q])], ["query_id", "item", "similarity", "n"])
+
+    return run
 
 
 def related_topics(docs: DataFrame, queries: DataFrame, threshold: float = 0.3, k: int = 10) -> DataFrame:
     """For each query document the k most similar classes of documents of equal key terms above the threshold; a class
     is named by its smallest doc_id and may hold the query itself, which then is left out."""
-    sets = term_sets(docs)
+    sets = stored(term_sets(docs), "term_sets")
     classes = sets.groupBy("terms").agg(F.min("doc_id").alias("item"))
     asked = sets.join(queries.select("doc_id"), "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id")
     found = search_sets(classes, asked, threshold, True, k)
@@ -135,27 +164,28 @@ def related_topics(docs: DataFrame, queries: DataFrame, threshold: float = 0.3,
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("item").alias("related_id"), "similarity", "rank")
 
 
-def semantic_duplicates(docs: DataFrame, threshold: float = 0.7) -> DataFrame:
+def semantic_duplicates(docs: DataFrame, threshold: float = 0.7, sets: DataFrame | None = None) -> DataFrame:
     """doc_id, class_id, n_links: cosine of idf-weighted key terms at or above the threshold.
 
     Terms are in rare-first order and weights have length 1. Where a set's remaining weights are shorter than the
     threshold, they alone cannot reach it; so two sets that do share a term before that place in both, and only those
     terms are joined. Documents of equal sets are one class."""
-    sets = term_sets(docs)
+    sets = stored(term_sets(docs), "term_sets") if sets is None else sets
     n = sets.agg(F.count("*").alias("n"))  # one row
     freq = sets.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))
     weight = F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    classes = sets.groupBy("terms").agg(F.min("doc_id").alias("item"), F.count("*").alias("size"))
+    classes = stored(sets.groupBy("terms").agg(F.min("doc_id").alias("item"), F.count("*").alias("size")), "classes")
     each = classes.select("item", F.explode("terms").alias("term")).join(freq.select("term", "df", weight.alias("w")), "term")
     ordered = each.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("df", "term", "w"))).alias("t"))
     norm = F.sqrt(F.aggregate("t", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
     unit = ordered.withColumn("norm", norm).select("item", F.transform("t", lambda x: F.struct(x["term"].alias("term"), (x["w"] / F.col("norm")).alias("w"))).alias("t"))
     left = F.transform("t", lambda x, i: F.sqrt(F.aggregate(F.slice("t", i + 1, F.size("t")), F.lit(0.0), lambda s, y: s + y["w"] * y["w"])))
+    unit = stored(unit, "unit_terms")
     heads = unit.withColumn("left", left).select("item", "t", F.posexplode("t").alias("at", "head"), "left").where(F.get("left", F.col("at")) >= threshold - 1e-9).select("item", F.transform("t", lambda x: x["term"]).alias("terms"), F.map_from_entries("t").alias("w"), "head.term")
     a, b = (heads.select(*[F.col(c).alias(f"{p}_{c}") for c in ("item", "terms", "w")], "term") for p in ("a", "b"))
     met = a.join(b, "term").where((F.col("a_item") < F.col("b_item")) & (F.get(F.array_intersect("a_terms", "b_terms"), F.lit(0)) == F.col("term")))
     cosine = F.aggregate(F.array_intersect("a_terms", "b_terms"), F.lit(0.0), lambda s, x: s + F.col("a_w")[x] * F.col("b_w")[x])
-    pairs = met.where(F.round(cosine, 9) >= threshold).select("a_item", "b_item")
+    pairs = stored(met.where(F.round(cosine, 9) >= threshold).select("a_item", "b_item"), "pairs")
     both = pairs.unionByName(pairs.select(F.col("b_item").alias("a_item"), F.col("a_item").alias("b_item")))
     others = both.join(classes.select(F.col("item").alias("b_item"), "size"), "b_item").groupBy(F.col("a_item").alias("item")).agg(F.sum("size").alias("others"))
     links = classes.join(others, "item", "left").select("terms", F.col("item").alias("class_id"), (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"))

@@ -81,15 +81,15 @@ def _nearest(asked: pa.Table, k: int, skip_self: bool, rows: int = 1024):
                     now = best_of(q_ids[j : j + rows], q[j : j + rows], part.column(0).to_numpy(), v, k, skip_self)
                     best = now if best is None else tuple(np.concatenate(x) for x in zip(best, now, strict=True))
                 if best is not None and len(best[0]) > 4 * k * len(q_ids):
-                    best = _kept(best, k)
+                    best = best_rows(best, k)
         if best is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _kept(best, k)], ["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in best_rows(best, k)], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def _kept(best: tuple, k: int) -> tuple:
-    """Each query's k best of these rows."""
+def best_rows(best: tuple, k: int) -> tuple:
+    """Each query's k best of rows (query, id, score), by score then id."""
     query_id, vec_id, score = best
     order = np.lexsort((vec_id, -score, query_id))
     query_id = query_id[order]

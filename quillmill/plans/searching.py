@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.operators import bm25, chunks, duplicates, records
+from quillmill.operators.storage import stored
 from quillmill.plans import chat, content, reporting, retrieval
 from quillmill.plans.common import table
 
@@ -121,7 +122,8 @@ SELECT d.doc_id, CASE WHEN e.doc_id IS NOT NULL THEN 'exact' WHEN n.n_links > 0
 FROM documents d LEFT JOIN e ON d.doc_id = e.doc_id LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN s ON d.doc_id = s.doc_id""")
 def duplicate_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return records.duplicate_levels(docs, duplicates.exact_matches(docs), duplicates.near_duplicates(docs, longest=10_000), duplicates.semantic_duplicates(docs))
+    sets = stored(duplicates.sized_term_sets(docs), "term_sets")
+    return records.duplicate_levels(docs, duplicates.exact_matches(docs), duplicates.near_duplicates(docs, longest=10_000, sets=sets), duplicates.semantic_duplicates(docs, sets=sets))
 
 
 @query("SELECT event_type AS name, 'event' AS kind FROM events UNION ALL SELECT c_mktsegment, 'segment' FROM customer")

@@ -46,8 +46,10 @@ def test_collection_lifecycle(spark, tmp_path):
 def test_set_search_weighs_items(spark):
     sets = spark.createDataFrame([(1, ["a", "b"], 3), (2, ["a", "c"], 2), (3, ["z"], 5)], "item long, terms array<string>, weight long")
     asked = spark.createDataFrame([(k, ["a", "b"]) for k in (1, 10, 11)], "query_id long, terms array<string>")
-    for block, group in ((1, 1), (2, 16)):
-        found = duplicates.search_sets(sets, asked, 0.3, False, 5, block, group).groupBy("query_id").agg(F.collect_set("item").alias("i")).collect()
+    for block in (1, 2, 100):
+        found = duplicates.search_sets(sets, asked, 0.3, False, 5, block).groupBy("query_id").agg(F.collect_set("item").alias("i")).collect()
         assert {r.query_id: sorted(r.i) for r in found} == {1: [2], 10: [1, 2], 11: [1, 2]}
-    one = duplicates.search_sets(sets, asked.where("query_id = 10"), 0.3, False, 1).first()
+    one = duplicates.search_sets(sets.coalesce(1), asked.where("query_id = 10"), 0.3, False, 1).first()
+    assert duplicates.search_sets(sets, asked.where("false"), 0.3, False, 1).count() == 0 == duplicates.search_sets(sets.where("false"), asked, 0.3, False, 1).count()
+    assert "Join" not in duplicates.search_sets(sets, asked, 0.3, False, 5, 1)._jdf.queryExecution().executedPlan().toString()
     assert (one.item, one.n) == (1, 5)
