@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["retrieval", "content", "chat", "analytics", "catalogue", "assessing", "reporting", "searching", "sequences", "indexes", "monitoring"]
+FAMILIES = ["retrieval", "content", "chat", "analytics", "catalogue", "assessing", "reporting", "searching", "sequences", "indexes", "monitoring", "tabular"]
 
 
 def _gathered(name: str) -> dict:
