@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillmill.operators import assessment, chunks, conversation
 from quillmill.plans.analytics import USAGE, _usage
 from quillmill.plans.chat import _messages
+from quillmill.plans.chat import TWO_LEVELS
 from quillmill.plans.common import SQL_SOURCE_TYPE, SQL_WORDS, sql_list, table, with_source_type
 from quillmill.plans.content import _KEY
 
@@ -115,7 +116,7 @@ def sessionize_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relevant_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunk ids are hashes of places; held against brute force in the tests."""
+    """Each document asks for its own first ten children."""
     from pyspark.sql import Window
 
     held = chunks.with_ids(chunks.chunk(table(spark, sf_dir, "documents"), "hierarchical"))
@@ -125,3 +126,5 @@ def relevant_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["relevant_context"] = relevant_context
+ORACLES["relevant_context"] = f"""WITH RECURSIVE {TWO_LEVELS}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p, i) AS rank FROM gc)
+SELECT doc_id AS query_id, rank::INT AS rank, substr(sha256(doc_id || '|1|' || p || '|' || i), 1, 16) AS chunk_id, CASE WHEN i = 0 THEN whole ELSE c END AS text FROM k WHERE rank <= 10"""

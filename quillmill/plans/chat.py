@@ -147,13 +147,23 @@ def chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions depend on a forward search; held against brute force in the tests."""
+    """Parents and children; a position is where the chunk is next found in the text."""
     return chunks.with_ids(chunks.chunk(table(spark, sf_dir, "documents"), "hierarchical"))
 
 
-QUERIES["chunk_hierarchical"] = chunk_hierarchical
-
 _ID = "substr(sha256(doc_id || '|{0}|' || {1} || '|' || {2}), 1, 16)"
+#: fp: parents (doc_id, i, c), gc: children (doc_id, p: parent, i, c), whole: the parent's text.
+TWO_LEVELS = f"""d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {_fixed_sql('d', 'fp', 'doc_id', 1024, 64)}, pk AS (SELECT doc_id || '|' || i AS pid, c AS t FROM fp), {_fixed_sql('pk', 'gk', 'pid', 512, 64)},
+gc AS (SELECT fp.doc_id, fp.i AS p, gk.i AS i, gk.c AS c, fp.c AS whole FROM gk JOIN fp ON gk.pid = fp.doc_id || '|' || fp.i)"""
+
+QUERIES["chunk_hierarchical"] = chunk_hierarchical
+ORACLES["chunk_hierarchical"] = f"""WITH RECURSIVE {TWO_LEVELS}, b AS (SELECT d.doc_id, -1::BIGINT AS i, 0::BIGINT AS start, 0::BIGINT AS a FROM d UNION ALL
+SELECT doc_id, i, start, start + length(c) - 256 FROM (SELECT fp.doc_id, fp.i, fp.c, CASE WHEN strpos(substr(d.t, greatest(0, a) + 1), fp.c) > 0 THEN greatest(0, a) + strpos(substr(d.t, greatest(0, a) + 1), fp.c) - 1 ELSE a END AS start
+FROM b JOIN fp ON fp.doc_id = b.doc_id AND fp.i = b.i + 1 JOIN d ON d.doc_id = fp.doc_id)),
+o AS (SELECT fp.doc_id, 0 AS level, fp.i AS parent_index, 0 AS child_index, start, c AS content, NULL::VARCHAR AS parent_id, NULL::VARCHAR AS position FROM fp JOIN b ON b.doc_id = fp.doc_id AND b.i = fp.i UNION ALL
+SELECT gc.doc_id, 1, p, gc.i, start + strpos(whole, c) - 1, c, {_ID.format('0', 'p', '0').replace('doc_id', 'gc.doc_id')}, (gc.i + 1) || '/' || count(*) OVER (PARTITION BY gc.doc_id, p) FROM gc JOIN b ON b.doc_id = gc.doc_id AND b.i = p)
+SELECT doc_id, level, parent_index::INT AS parent_index, child_index::INT AS child_index, start::BIGINT AS start_index, content, substr(sha256(doc_id || '|' || level || '|' || parent_index || '|' || child_index), 1, 16) AS chunk_id, parent_id,
+(length(content) // 4)::BIGINT AS token_count, length(content)::INT AS char_count, position FROM o"""
 
 
 @query(f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {_fixed_sql('d', 'f', 'doc_id', 1024, 64)}, pk AS (SELECT doc_id || '|' || i AS pid, c AS t FROM f),

@@ -1,11 +1,12 @@
-"""Queries of texts with tables inside, with their SQL."""
+"""Queries of texts with tables inside and of references between texts, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.operators import table_driver
+from quillmill.operators import references, table_driver
+from quillmill.plans import assessing, content
 from quillmill.plans.chat import _fixed_sql
 from quillmill.plans.common import table
 
@@ -73,3 +74,33 @@ SELECT doc_id, table_id, chunk_id, parent_id, main_parent, chunk_type, md5(conte
 def mixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts' own chunks, and those of the tables inside, linked."""
     return table_driver.mixed_chunks(table(spark, sf_dir, "documents")).withColumn("content_md5", F.md5("content")).drop("content")
+
+
+_CITED = " UNION ".join(f"SELECT doc_id, lower(unnest(regexp_extract_all(coalesce(text, ''), '(?i){p}', 1))) AS citation FROM documents" for p in references.CITATIONS)
+
+
+@query(f"""WITH d AS (SELECT doc_id, lower(text) AS t, lower(regexp_replace(split_part(split_part(text, chr(10), 1), '.', 1), '^\\s+|\\s+$', '', 'g')) AS title, lower(source) AS source FROM documents),
+ct AS (SELECT title AS p, count(*) AS n, min(doc_id) AS class_id FROM d WHERE length(title) > 10 GROUP BY 1), cs AS (SELECT source AS p, count(*) AS n, min(doc_id) AS class_id FROM d WHERE length(source) > 0 GROUP BY 1),
+w AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(title, '\\s+'), lambda x: x <> '')) AS p FROM d), cw AS (SELECT p, count(*) AS n, min(doc_id) AS class_id FROM w GROUP BY 1), c AS ({_CITED}),
+m AS (SELECT d.doc_id, 'title_mention' AS reference_type, p AS reference, class_id, n - (title IS NOT DISTINCT FROM p)::INT AS n_documents, 0.9 AS confidence FROM d JOIN ct ON contains(t, p)
+UNION ALL SELECT d.doc_id, 'source_mention', p, class_id, n - (source IS NOT DISTINCT FROM p)::INT, 0.7 FROM d JOIN cs ON contains(t, p)
+UNION ALL SELECT DISTINCT c.doc_id, 'citation', cw.p, class_id, n - (w.p IS NOT NULL)::INT, 0.6 FROM c JOIN cw ON contains(citation, cw.p) LEFT JOIN w ON w.doc_id = c.doc_id AND w.p = cw.p)
+SELECT doc_id, reference_type, reference, class_id, n_documents::BIGINT AS n_documents, confidence::DOUBLE AS confidence FROM m WHERE n_documents > 0""")
+def document_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles (a text's first line up to its first full stop), sources and cited title words of all documents, in all documents."""
+    first = F.substring_index(F.substring_index("text", "\n", 1), ".", 1)
+    return references.references(table(spark, sf_dir, "documents"), F.regexp_replace(first, "^\\s+|\\s+$", ""), F.col("source"))
+
+
+_EDGES = "SELECT doc_id, reference_type AS edge_type, class_id::VARCHAR AS target, n_documents::DOUBLE AS weight FROM ({0}) UNION ALL SELECT query_id, 'related_topic', related_id::VARCHAR, similarity FROM ({1}) UNION ALL SELECT doc_id, 'cluster', unnest(string_split(clusters, ',')), NULL FROM ({2}) WHERE clusters <> '' UNION ALL SELECT doc_id, 'authority', nearest_id::VARCHAR, n_connections FROM ({3}) WHERE n_connections > 0"
+
+
+@query(_EDGES.format(ORACLES["document_references"], content.ORACLES["related_topics"], assessing.ORACLES["content_clusters"], assessing.ORACLES["authority_connections"]))
+def relationship_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's relations as typed edges: references, related topics (of the documents that ask), clusters, authority."""
+    edge = lambda df, key, kind, target, weight: df.select(F.col(key).alias("doc_id"), kind.alias("edge_type"), target.cast("string").alias("target"), weight.cast("double").alias("weight"))
+    clusters = assessing.content_clusters(spark, sf_dir).where("clusters <> ''").withColumn("cluster", F.explode(F.split("clusters", ",")))
+    strong = assessing.authority_connections(spark, sf_dir).where("n_connections > 0")
+    edges = edge(document_references(spark, sf_dir), "doc_id", F.col("reference_type"), F.col("class_id"), F.col("n_documents"))
+    edges = edges.unionByName(edge(content.related_topics(spark, sf_dir), "query_id", F.lit("related_topic"), F.col("related_id"), F.col("similarity")))
+    return edges.unionByName(edge(clusters, "doc_id", F.lit("cluster"), F.col("cluster"), F.lit(None))).unionByName(edge(strong, "doc_id", F.lit("authority"), F.col("nearest_id"), F.col("n_connections")))
