@@ -79,10 +79,14 @@ def ranked_sources(results: DataFrame, as_of: str, threshold: float, k: int = 5)
     Relevance is a source's best score; a threshold above all scores falls to a fifth of the best one, at least 0.01.
     Sources are ordered by 0.4 * combined top three scores + 0.3 * authority + 0.2 * freshness + 0.1 * number of chunks
     up to five. If none passes, the best k by relevance are taken."""
-    best = F.array_sort(F.collect_list("score"), lambda a, b: F.when(a > b, -1).when(a < b, 1).otherwise(0))
+    # the three best scores of a source: each task drops what can't be among them before the shuffle
+    own = Window.partitionBy("query_id", "source_id").orderBy(F.desc("score"))
+    three = results.select("query_id", "source_id", "score", F.row_number().over(own).alias("n")).where("n <= 3")
+    top = three.groupBy(F.col("query_id").alias("_q"), F.col("source_id").alias("_s")).agg(F.reverse(F.array_sort(F.collect_list("score"))).alias("top"))
     per = results.groupBy("query_id", "source_id").agg(
-        F.max("score").alias("relevance"), F.count("*").alias("n_chunks"), F.slice(best, 1, 3).alias("top"), F.substring(F.max_by("content", F.struct("score", "content")), 1, 300).alias("snippet"), F.max("authority").alias("authority"), F.max("created_at").alias("created_at")
+        F.max("score").alias("relevance"), F.count("*").alias("n_chunks"), F.substring(F.max_by("content", F.struct("score", "content")), 1, 300).alias("snippet"), F.max("authority").alias("authority"), F.max("created_at").alias("created_at")
     )
+    per = per.join(top, F.col("query_id").eqNullSafe(F.col("_q")) & F.col("source_id").eqNullSafe(F.col("_s"))).drop("_q", "_s")
     combined = F.coalesce(F.get("top", F.lit(0)), F.lit(0.0)) * 0.5 + F.coalesce(F.get("top", F.lit(1)), F.lit(0.0)) * 0.3 + F.coalesce(F.get("top", F.lit(2)), F.lit(0.0)) * 0.2
     fresh = F.coalesce(F.greatest(F.lit(0.1), 1 - F.datediff(F.to_date(F.lit(as_of)), "created_at") / 365), F.lit(0.5))
     scored = per.withColumn("score", F.round(combined * 0.4 + F.col("authority") * 0.3 + fresh * 0.2 + F.least(F.lit(1.0), F.col("n_chunks") / 5) * 0.1, 6))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmill.operators.scan import running_total
+from quillmill.operators.storage import stored
+
 
 def retrieval_metrics(runs: DataFrame, k: int) -> DataFrame:
     """runs (query_id, rank, relevant, relevant_total) -> one row: means over queries of precision (over what was
@@ -23,9 +28,24 @@ def retrieval_metrics(runs: DataFrame, k: int) -> DataFrame:
 
 
 def latency(facts: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Exact percentiles, linear between values."""
-    p = lambda q: F.round(F.percentile(value, F.lit(q)), 6)
-    return facts.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), p(0.5).alias("median"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.round(F.min(value), 6).alias("min"), F.round(F.max(value), 6).alias("max"))
+    """by..., n, mean, median, p95, p99, min, max: exact percentiles, linear between values. Rows are counted by value first, and
+    counts are added up over ranges of (by, value), so no group's values come to one task."""
+    counts = stored(facts.groupBy(*by, F.col(value).alias("_value")).agg(F.count("*").alias("_n")), "value_counts")
+    there = F.col("_value").isNotNull()
+    total = counts.groupBy(*by).agg(F.sum("_n").alias("n"), F.sum(F.when(there, F.col("_n"))).alias("_all"), F.sum(F.col("_value") * F.col("_n")).alias("_sum"), F.min("_value").alias("min"), F.max("_value").alias("max"))
+    total = stored(total.select(*[F.col(c).alias(f"_{c}") for c in by], "n", "_all", "_sum", "min", "max"), "totals")
+    same = lambda mark: F.lit(True) if not by else reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{mark}{c}")) for c in by])
+    upto = stored(running_total(counts.where(there), [*by, "_value"], F.col("_n"), "_upto"), "running")
+    start = upto.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.min(F.col("_upto") - F.col("_n")).alias("_start"))
+    placed = upto.join(start, same("__")).join(total, same("_")).withColumn("_high", F.col("_upto") - F.col("_start")).withColumn("_low", F.col("_high") - F.col("_n"))
+    shares = {"median": 0.5, "p95": 0.95, "p99": 0.99}
+    at = lambda k: F.max(F.when((F.col("_low") <= k) & (k < F.col("_high")), F.col("_value")))
+    place = lambda q: (F.col("_all") - 1) * q
+    ends = [f(place(q)) for q in shares.values() for f in (F.floor, F.ceil)]
+    found = placed.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(*[at(e).alias(f"_e{k}") for k, e in enumerate(ends)])
+    rows = total.select(*[F.col(f"_{c}").alias(c) for c in by], "n", "_all", "_sum", "min", "max").join(found, same("__"), "left")
+    between = lambda k, q: F.round(F.col(f"_e{2 * k}") + (F.col(f"_e{2 * k + 1}") - F.col(f"_e{2 * k}")) * (place(q) - F.floor(place(q))), 6)
+    return rows.select(*by, "n", F.round(F.col("_sum") / F.col("_all"), 6).alias("mean"), *[between(k, q).alias(c) for k, (c, q) in enumerate(shares.items())], F.round("min", 6).alias("min"), F.round("max", 6).alias("max"))
 
 
 def cost_summary(usage: DataFrame) -> DataFrame:

@@ -47,17 +47,21 @@ def authority(source_type: Column, domain: Column | None = None, official: Colum
     return F.least(F.lit(1.0), base)
 
 
-def readability(text: Column) -> Column:
-    """Sentences are what the split at . ! ? gives, an empty tail included."""
-    n_words, n_sentences = F.size(T.words(text)), F.size(F.split(text, "[.!?]+"))
+def counted(docs: DataFrame) -> DataFrame:
+    """docs with _n_words and _n_sentences (what the split at . ! ? gives, an empty tail included). Each text is split once:
+    a generated row keeps the optimizer from working the counts out again in every expression above."""
+    text = T.text("text")
+    return docs.select("*", F.inline(F.array(F.struct(F.size(T.words(text)).alias("_n_words"), F.size(F.split(text, "[.!?]+")).alias("_n_sentences")))))
+
+
+def readability(text: Column, n_words: Column, n_sentences: Column) -> Column:
     sentence = F.greatest(F.lit(0.0), 1 - F.abs(n_words / n_sentences - 17.5) / 17.5)
     word = F.greatest(F.lit(0.0), 1 - F.abs(F.try_divide(F.length(text), n_words) - 5) / 5)
     structure = 0.5 + F.when(F.contains(text, F.lit("\n")), 0.2).otherwise(0.0) + F.when(text.rlike(HEADERS), 0.2).otherwise(0.0) + F.when(text.rlike(LISTS), 0.1).otherwise(0.0)
     return F.when(n_words == 0, 0.0).otherwise(F.least(F.lit(1.0), sentence * 0.3 + word * 0.3 + structure * 0.4))
 
 
-def completeness(text: Column) -> Column:
-    n = F.size(T.words(text))
+def completeness(text: Column, n: Column) -> Column:
     code = F.contains(text, F.lit("```")) | text.rlike("`[^`]+`")
     plus = F.when(n > 100, 0.2).otherwise(0.0) + F.when(n > 500, 0.1).otherwise(0.0) + F.when(text.rlike(HEADERS), 0.1).otherwise(0.0) + F.when(text.rlike(LISTS), 0.05).otherwise(0.0) + F.when(code, 0.1).otherwise(0.0)
     return F.when(n == 0, 0.0).otherwise(clamp(0.5 + plus - hits(F.lower(text), INCOMPLETE) * 0.1))
@@ -69,36 +73,41 @@ def freshness(created_at: Column, as_of: Column) -> Column:
     return F.when(created_at.isNull(), 0.5).otherwise(steps)
 
 
-def scores(docs: DataFrame, as_of: str) -> DataFrame:
-    """docs with the five scores and overall. Needs text, source_type and created_at; domain counts if there is one."""
+def scores(docs: DataFrame, as_of: str, keep_counts: bool = False) -> DataFrame:
+    """docs with the five scores and overall, and the counts of `counted` if these are to be kept. Needs text, source_type
+    and created_at; domain counts if there is one."""
     text, kind = T.text("text"), F.col("source_type")
     domain = F.col("domain") if "domain" in docs.columns else None
-    scored = docs.withColumns({
+    scored = counted(docs).withColumns({
         "relevance": relevance(text, kind),
         "authority": authority(kind, domain),
-        "readability": readability(text),
-        "completeness": completeness(text),
+        "readability": readability(text, F.col("_n_words"), F.col("_n_sentences")),
+        "completeness": completeness(text, F.col("_n_words")),
         "freshness": freshness(F.col("created_at"), F.to_date(F.lit(as_of))),
     })
-    return scored.withColumn("overall", F.expr("relevance * 0.3 + authority * 0.25 + readability * 0.2 + completeness * 0.15 + freshness * 0.1"))
+    found = scored.withColumn("overall", F.expr("relevance * 0.3 + authority * 0.25 + readability * 0.2 + completeness * 0.15 + freshness * 0.1"))
+    return found if keep_counts else found.drop("_n_words", "_n_sentences")
+
 
+# The issues' texts, and those that keep a document out.
+SHORT, FEW_WORDS, PLACEHOLDER, INCOMPLETE_TEXT = "Content too short", "Insufficient word count", "Contains placeholder content", "Content appears incomplete"
+NO_PARAGRAPHS, UNKNOWN_SOURCE, NO_TIME = "Poor formatting (no paragraphs)", "Unknown source type", "No timestamp information"
+BLOCKING = [PLACEHOLDER, SHORT, FEW_WORDS]
 
-def issues(text: Column, source_type: Column, created_at: Column) -> Column:
+
+def issues(text: Column, source_type: Column, created_at: Column, n_words: Column | None = None) -> Column:
     low = F.lower(text)
     return F.array_compact(F.array(
-        F.when(F.length(bare(text)) < 50, "Content too short"),
-        F.when(F.size(T.words(text)) < 10, "Insufficient word count"),
-        F.when(hits(low, PLACEHOLDERS) > 0, "Contains placeholder content"),
-        F.when(hits(low, UNFINISHED) > 0, "Content appears incomplete"),
-        F.when(~F.contains(text, F.lit("\n")) & (F.length(text) > 500), "Poor formatting (no paragraphs)"),
-        F.when(source_type == "unknown", "Unknown source type"),
-        F.when(created_at.isNull(), "No timestamp information"),
+        F.when(F.length(bare(text)) < 50, SHORT),
+        F.when((F.size(T.words(text)) if n_words is None else n_words) < 10, FEW_WORDS),
+        F.when(hits(low, PLACEHOLDERS) > 0, PLACEHOLDER),
+        F.when(hits(low, UNFINISHED) > 0, INCOMPLETE_TEXT),
+        F.when(~F.contains(text, F.lit("\n")) & (F.length(text) > 500), NO_PARAGRAPHS),
+        F.when(source_type == "unknown", UNKNOWN_SOURCE),
+        F.when(created_at.isNull(), NO_TIME),
     ))
 
 
-BLOCKING = ["Contains placeholder content", "Content too short", "Insufficient word count"]
-
-
 def authority_category(source_type: Column) -> Column:
     return (
         F.when(source_type.isin("official_website", "documentation"), "high")
@@ -121,14 +130,21 @@ def gate(docs: DataFrame, default: float = 0.4) -> DataFrame:
     return docs.withColumn("skip_reason", reason)
 
 
+# The advice's texts.
+ADVICE = {
+    "reject": "Consider rejecting - very low quality content", "review": "Flag for manual review - below quality threshold", "relevance": "Low relevance - consider content filtering",
+    "completeness": "Content appears incomplete - verify source", "issues": "Quality issues detected: ", "copy": "Exact duplicate found - skip ingestion",
+}
+
+
 def recommendations() -> Column:
     """From overall, relevance, completeness, issues and is_copy."""
     return F.array_compact(F.array(
-        F.when(F.col("overall") < 0.3, "Consider rejecting - very low quality content").when(F.col("overall") < 0.5, "Flag for manual review - below quality threshold"),
-        F.when(F.col("relevance") < 0.4, "Low relevance - consider content filtering"),
-        F.when(F.col("completeness") < 0.4, "Content appears incomplete - verify source"),
-        F.when(F.size("issues") > 0, F.concat(F.lit("Quality issues detected: "), F.array_join("issues", ", "))),
-        F.when(F.col("is_copy"), "Exact duplicate found - skip ingestion"),
+        F.when(F.col("overall") < 0.3, ADVICE["reject"]).when(F.col("overall") < 0.5, ADVICE["review"]),
+        F.when(F.col("relevance") < 0.4, ADVICE["relevance"]),
+        F.when(F.col("completeness") < 0.4, ADVICE["completeness"]),
+        F.when(F.size("issues") > 0, F.concat(F.lit(ADVICE["issues"]), F.array_join("issues", ", "))),
+        F.when(F.col("is_copy"), ADVICE["copy"]),
     ))
 
 

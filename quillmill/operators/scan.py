@@ -209,3 +209,16 @@ def greedy_batches(limit: float, most: int, size: int) -> Fold:
         return (total, n), out
 
     return fold
+
+
+def attempts(ok: int) -> Fold:
+    """How many failures in a row each row ends, 0 for a success. ok: the place of a row's success."""
+
+    def fold(state, rows):
+        n, out = state or 0, []
+        for row in rows:
+            n = 0 if row[ok] else n + 1
+            out.append(n)
+        return n, out
+
+    return fold

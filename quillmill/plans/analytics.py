@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.operators import metrics, tables
+from quillmill.operators import metrics, scan, tables
 from quillmill.plans.common import table
 
 QUERIES: dict = {}
@@ -182,9 +182,15 @@ def rate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round(F.col("n") / 300, 6).alias("per_second"))
 
 
-@query("SELECT n::INT AS attempt, least(1.0 * 2.0 ** (n - 1), 60.0)::DOUBLE AS delay FROM range(1, 11) t(n)")
+@query("""WITH f AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, value > 60 AS ok, ts FROM events),
+g AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY user_id ORDER BY n) AS runs FROM f), a AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, runs ORDER BY n) - (max(ok::INT) OVER (PARTITION BY user_id, runs)) AS attempt, ok FROM g)
+SELECT user_id, event_id, attempt::INT AS attempt, least(2.0 ** (attempt - 1), 60.0)::DOUBLE AS delay FROM a WHERE NOT ok""")
 def retry_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1, 11).select(F.col("id").cast("int").alias("attempt"), metrics.retry_delay(F.col("id")).alias("delay"))
+    """Each user's calls fail until one succeeds: how long is waited after each failure since the last success."""
+    ok = F.coalesce(F.col("value") > 60, F.lit(False))
+    calls = table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), ok.alias("ok"))
+    tries = scan.folded(calls, "user_id", ["at", "event_id"], scan.attempts(ok=3), "attempt", "int").where("not ok")
+    return tries.select("user_id", "event_id", "attempt", metrics.retry_delay(F.col("attempt")).alias("delay"))
 
 
 @query("""SELECT event_id, CASE WHEN user_id % 5 = 0 THEN 'rate_limit' WHEN user_id % 5 = 1 THEN 'network' WHEN user_id % 5 = 2 THEN 'permission' WHEN user_id % 5 = 3 THEN 'parsing' ELSE 'unknown' END AS error_class FROM events""")

@@ -67,9 +67,9 @@ def quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = quality.scores(_docs(spark, sf_dir), AS_OF)
-    copies = duplicates.exact_matches(docs).select("doc_id", F.lit(True).alias("is_copy"))
-    docs = docs.withColumn("issues", quality.issues(T.text("text"), F.col("source_type"), F.col("created_at")))
+    copies = duplicates.exact_matches(table(spark, sf_dir, "documents")).select("doc_id", F.lit(True).alias("is_copy"))
+    docs = quality.scores(_docs(spark, sf_dir), AS_OF, keep_counts=True)
+    docs = docs.withColumn("issues", quality.issues(T.text("text"), F.col("source_type"), F.col("created_at"), F.col("_n_words"))).drop("text")
     return docs.join(copies, "doc_id", "left").withColumn("is_copy", F.coalesce("is_copy", F.lit(False)))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.operators import references, table_driver
+from quillmill.operators import references, sections, table_driver
 from quillmill.plans import assessing, content
 from quillmill.plans.chat import _fixed_sql
 from quillmill.plans.common import table
@@ -104,3 +104,21 @@ def relationship_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = edge(document_references(spark, sf_dir), "doc_id", F.col("reference_type"), F.col("class_id"), F.col("n_documents"))
     edges = edges.unionByName(edge(content.related_topics(spark, sf_dir), "query_id", F.lit("related_topic"), F.col("related_id"), F.col("similarity")))
     return edges.unionByName(edge(clusters, "doc_id", F.lit("cluster"), F.col("cluster"), F.lit(None))).unionByName(edge(strong, "doc_id", F.lit("authority"), F.col("nearest_id"), F.col("n_connections")))
+
+
+def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of all documents. Cutting goes on from line to line, so there are tests instead of SQL."""
+    return sections.explode_chunks(table(spark, sf_dir, "documents"), "markdown")
+
+
+def chunk_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as blocks of code."""
+    return sections.explode_chunks(table(spark, sf_dir, "documents"), "python")
+
+
+def chunk_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as lines under a header."""
+    return sections.explode_chunks(table(spark, sf_dir, "documents"), "csv")
+
+
+QUERIES |= {"chunk_markdown": chunk_markdown, "chunk_code": chunk_code, "chunk_csv": chunk_csv}

@@ -66,3 +66,22 @@ def test_a_busy_key_runs_in_many_ranges(calls):
     _, df = calls
     parts = scan.in_ranges(df, ["key", "s", "id"], 40).where("key = 'busy'").select("range_no").distinct().count()
     assert parts > 10
+
+
+def test_percentiles_of_groups(spark):
+    import numpy as np
+
+    from quillmill.operators import metrics
+
+    r = random.Random(8)
+    rows = [(r.choice(["a", "a", "b", None]), r.choice([1.5, 2.0, r.uniform(0, 90)])) for _ in range(700)] + [("a", None), ("none", None), ("one", 7.0)]
+    got = {x.g: x for x in metrics.latency(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()}
+    assert set(got) == {"a", "b", None, "none", "one"}
+    for g, x in got.items():
+        held = [v for k, v in rows if k == g and v is not None]
+        assert x.n == sum(k == g for k, _ in rows)
+        if held:
+            want = [np.mean(held), *np.percentile(held, [50, 95, 99]), min(held), max(held)]
+            assert [x.mean, x.median, x.p95, x.p99, x.min, x.max] == pytest.approx(want, abs=1e-6)
+        else:
+            assert x.mean is None and x.p95 is None
