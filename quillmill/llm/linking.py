@@ -26,8 +26,9 @@ from quillmill.llm.tokens import text_slices
 
 #: A block's members and their shingles.
 _MEMBERS, _SHINGLES = 1024, 1 << 19
-#: Cells up to this size are compared pair by pair; rows of a task that are worked on at once.
-_SMALL, _ROWS = 32, 1 << 18
+#: Cells up to the first size are compared pair by pair, up to the second one if they are no tight group, larger ones from
+#: pivots; rows of a task that are worked on at once.
+_SMALL, _WIDE, _ROWS = 32, 1024, 1 << 18
 #: Shingles of up to so many members are counted pair by pair, others in bit sets.
 _FEW = 8
 
@@ -57,17 +58,30 @@ def cell_forest(cell: np.ndarray, item: np.ndarray, sketch: np.ndarray, radius:
     """Spanning links of cells that lie one after another. sketch: a row of words for each item."""
     begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
     size = np.diff(np.append(begin, len(cell)))
-    out = [np.zeros((0, 2), np.int64)]
-    for at, n in zip(begin[size > _SMALL].tolist(), size[size > _SMALL].tolist(), strict=True):
-        out += _large_cell(item[at : at + n], sketch[at : at + n], radius)
-    keep = np.repeat((size > 1) & (size <= _SMALL), size)
-    cell, item, sketch = cell[keep], item[keep], sketch[keep]
-    for step in range(1, _SMALL):
-        left = np.flatnonzero(cell[step:] == cell[:-step])
+    out, held = [np.zeros((0, 2), np.int64)], 0
+    tight = np.zeros(len(size), bool)
+    for k in np.flatnonzero(size > _SMALL).tolist():
+        at, n = begin[k], size[k]
+        tight[k] = n > _WIDE or (_far(sketch[at : at + n], sketch[at : at + 1]) <= radius).sum() > n // 16
+        if tight[k]:
+            out += _large_cell(item[at : at + n], sketch[at : at + n], radius)
+    keep = np.repeat((size > 1) & ~tight, size)
+    cell, item, words = cell[keep], item[keep], [np.ascontiguousarray(w) for w in sketch[keep].T.view(np.uint64)]
+    left, step = np.arange(len(cell)), 0
+    while True:  # members of a cell that are `step` apart; those of a step are among those of the one before
+        step += 1
+        left = left[: np.searchsorted(left, len(cell) - step)]
+        left = left[cell[left] == cell[left + step]]
         if not len(left):
             break
-        near = left[_far(sketch[left], sketch[left + step]) <= radius]
+        near, far = left, np.zeros(len(left), np.uint16)
+        for w in words:
+            far = far + np.bitwise_count(w[near] ^ w[near + step])
+            near, far = near[far <= radius], far[far <= radius]
         out.append(np.stack([item[near], item[near + step]], axis=1))
+        held += len(near)
+        if held > _ROWS:  # so that many near members don't make a link for each pair
+            out, held = [forest(np.concatenate(out))], 0
     return forest(np.concatenate(out))
 
 
