@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.operators.scan import running_total
+from quillmill.operators.scan import folded, last_mean, running_total
 from quillmill.operators.storage import stored
 
 
@@ -85,13 +85,28 @@ def first_over(usage: DataFrame, limit: float, period: str = "day") -> DataFrame
 
 
 def spikes(usage: DataFrame, by: str, times: float = 5.0, back: int = 10) -> DataFrame:
-    """Costs over `times` the mean of the last `back` ones of their group, themselves included."""
-    w = Window.partitionBy(by).orderBy("ts", "id")
-    mean = F.avg("cost").over(w.rowsBetween(1 - back, 0))
-    found = usage.withColumn("mean", mean).withColumn("n", F.row_number().over(w)).where((F.col("n") >= back) & (F.col("cost") > times * F.col("mean")))
+    """Costs over `times` the mean of the last `back` ones of their group, themselves included. The last costs are handed from
+    range to range, so a busy group is no single task."""
+    rows = usage.select(F.col(by), F.unix_micros("ts").alias("_at"), "id", "cost")
+    found = folded(rows, by, ["_at", "id"], last_mean(back, value=3), "mean", "double").where(F.col("cost") > times * F.col("mean"))
     return found.select("id", by, "cost", F.round("mean", 6).alias("mean"))
 
 
+def counted_within(calls: DataFrame, by: str, spans: dict[str, int]) -> DataFrame:
+    """calls with a column for each span: how many calls of its group lie in the last so many seconds, its own second
+    included. Calls are counted by second; a group is cut into slots as long as the longest span, and a slot is ordered
+    together with the one before it only, so a busy group spans many tasks."""
+    length = max(spans.values())
+    marked = calls.withColumn("_s", F.unix_seconds("ts"))
+    per = stored(marked.groupBy(F.col(by).alias("_by"), "_s").agg(F.count("*").alias("_n")), "seconds")
+    slot = F.floor(F.col("_s") / length)
+    both = per.select("*", slot.alias("_slot"), F.lit(True).alias("_own")).unionByName(per.select("*", (slot + 1).alias("_slot"), F.lit(False).alias("_own")))
+    order = Window.partitionBy("_by", "_slot").orderBy("_s")
+    sums = both.select("_by", "_s", "_own", *[F.sum("_n").over(order.rangeBetween(-n, 0)).alias(c) for c, n in spans.items()]).where("_own")
+    there = sums.select("_by", F.col("_s").alias("_second"), *spans)
+    return marked.join(there, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_s") == F.col("_second"))).drop("_by", "_second", "_s")
+
+
 def threshold_alerts(values: DataFrame, thresholds: list[tuple[str, float, float]]) -> DataFrame:
     """values (one column per metric) -> metric, value, severity; critical before warning."""
     cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(float(w)).alias("warning"), F.lit(float(c)).alias("critical")) for m, w, c in thresholds])
@@ -103,14 +118,12 @@ def threshold_alerts(values: DataFrame, thresholds: list[tuple[str, float, float
 
 def breaker_trips(calls: DataFrame, by: str, failures: int = 5, seconds: int = 60) -> DataFrame:
     """Failed calls that are the n-th failure or later within the time before them."""
-    w = Window.partitionBy(by).orderBy(F.unix_seconds("ts")).rangeBetween(-seconds, 0)
-    return calls.where("failed").withColumn("recent", F.count("*").over(w)).where(F.col("recent") >= failures)
+    return counted_within(calls.where("failed"), by, {"recent": seconds}).where(F.col("recent") >= failures)
 
 
 def window_counts(calls: DataFrame, by: str, minute: int, hour: int) -> DataFrame:
     """For each call the calls of its group in the last minute and hour, and whether a limit denies it."""
-    at = Window.partitionBy(by).orderBy(F.unix_seconds("ts"))
-    found = calls.withColumn("last_minute", F.count("*").over(at.rangeBetween(-60, 0))).withColumn("last_hour", F.count("*").over(at.rangeBetween(-3600, 0)))
+    found = counted_within(calls, by, {"last_minute": 60, "last_hour": 3600})
     return found.withColumn("denied", (F.col("last_minute") > minute) | (F.col("last_hour") > hour))
 
 

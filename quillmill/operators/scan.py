@@ -222,3 +222,18 @@ def attempts(ok: int) -> Fold:
         return n, out
 
     return fold
+
+
+def last_mean(back: int, value: int) -> Fold:
+    """The mean of the last `back` values (at that place of a row), null as long as there are fewer rows; null values count as rows
+    only."""
+
+    def fold(state, rows):
+        held, out = list(state or []), []
+        for row in rows:
+            held = [*held, row[value]][-back:]
+            there = [v for v in held if v is not None and v == v]
+            out.append(sum(there) / len(there) if len(held) == back and there else None)
+        return held, out
+
+    return fold
