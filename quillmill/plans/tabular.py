@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.operators import references, sections, table_driver
-from quillmill.plans import assessing, content
+from quillmill.operators import points, references, sections, table_driver
+from quillmill.plans import assessing, chat, content
 from quillmill.plans.chat import _fixed_sql
 from quillmill.plans.common import table
 
@@ -122,3 +122,20 @@ def chunk_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"chunk_markdown": chunk_markdown, "chunk_code": chunk_code, "chunk_csv": chunk_csv}
+
+
+_POINT = "substr(sha256(key || '|{0}|' || {1} || '|' || {2}), 1, 16)"
+
+
+@query(f"""WITH RECURSIVE x AS ({chat.ORACLES['conversation_text']}), d AS (SELECT channel || '|' || session || '|' || part AS key, text AS t FROM x WHERE length(text) >= 100),
+{_fixed_sql('d', 'fp', 'key', 1024, 64)}, pk AS (SELECT key || '#' || i AS pid, c AS t FROM fp), {_fixed_sql('pk', 'gk', 'pid', 512, 64)},
+b AS (SELECT key, -1::BIGINT AS i, 0::BIGINT AS start, 0::BIGINT AS a FROM d UNION ALL
+SELECT key, i, start, start + length(c) - 256 FROM (SELECT fp.key, fp.i, fp.c, CASE WHEN strpos(substr(d.t, greatest(0, a) + 1), fp.c) > 0 THEN greatest(0, a) + strpos(substr(d.t, greatest(0, a) + 1), fp.c) - 1 ELSE a END AS start
+FROM b JOIN fp ON fp.key = b.key AND fp.i = b.i + 1 JOIN d ON d.key = fp.key)),
+o AS (SELECT key, 0 AS level, fp.i AS p, 0 AS k, start, c, NULL::VARCHAR AS parent_id FROM fp JOIN b USING (key, i) UNION ALL
+SELECT fp.key, 1, fp.i, gk.i, start + strpos(fp.c, gk.c) - 1, gk.c, {_POINT.format('0', 'fp.i', '0').replace('key', 'fp.key')} FROM gk JOIN fp ON gk.pid = fp.key || '#' || fp.i JOIN b ON b.key = fp.key AND b.i = fp.i)
+SELECT {_POINT.format("' || level || '", 'p', 'k')} AS id, c AS content, 'chat://' || split_part(key, '|', 1) AS source, key AS document_id, CASE level WHEN 1 THEN 'child' ELSE 'parent' END AS chunk_type, parent_id, level AS hierarchy_level,
+start::BIGINT AS start_index, (start + length(c))::BIGINT AS end_index, (length(c) // 4)::BIGINT AS token_count, length(c)::INT AS char_count, split_part(key, '|', 1) AS channel, split_part(key, '|', 2)::BIGINT AS session, split_part(key, '|', 3)::BIGINT AS part FROM o""")
+def channel_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's chunks as flat points of a store."""
+    return points.channel_points(chat.conversation_text(spark, sf_dir))
