@@ -85,3 +85,29 @@ def test_percentiles_of_groups(spark):
             assert [x.mean, x.median, x.p95, x.p99, x.min, x.max] == pytest.approx(want, abs=1e-6)
         else:
             assert x.mean is None and x.p95 is None
+
+
+def test_counts_within_time_and_spikes(spark):
+    import datetime as dt
+
+    from quillmill.operators import metrics
+
+    r, base = random.Random(4), dt.datetime(2024, 1, 1)
+    rows, t = [], 0
+    for k in range(600):
+        t += r.choice([0, 1, 9, 60, 400])
+        rows.append((k, r.choice(["busy"] * 9 + [None]), base + dt.timedelta(seconds=t), t, r.random() < 0.5, 100.0 if k % 97 == 0 else r.uniform(1, 5)))
+    df = spark.createDataFrame(rows, "id long, who string, ts timestamp, s long, failed boolean, cost double").drop("s")
+    near = lambda x, span, of: sum(y[1] == x[1] and x[3] - span <= y[3] <= x[3] for y in of)
+    got = {x.id: (x.last_minute, x.last_hour, x.denied) for x in metrics.window_counts(df, "who", 3, 40).collect()}
+    assert got == {x[0]: (m, h, m > 3 or h > 40) for x in rows for m, h in [(near(x, 60, rows), near(x, 3600, rows))]}
+    failed = [x for x in rows if x[4]]
+    assert {x.id: x.recent for x in metrics.breaker_trips(df, "who", 4, 90).collect()} == {x[0]: n for x in failed for n in [near(x, 90, failed)] if n >= 4}
+    want = {}
+    for who in ("busy", None):
+        mine = [x for x in rows if x[1] == who]
+        for k, x in enumerate(mine):
+            mean = sum(y[5] for y in mine[max(0, k - 9) : k + 1]) / 10
+            if k >= 9 and x[5] > 5 * mean:
+                want[x[0]] = round(mean, 6)
+    assert {x.id: x.mean for x in metrics.spikes(df, "who", 5.0, 10).collect()} == pytest.approx(want) and want
