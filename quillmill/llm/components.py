@@ -27,8 +27,14 @@ def forest(edges: np.ndarray) -> np.ndarray:
     return np.stack([nodes[away], nodes[root[away]]], axis=1)
 
 
-def _forest_of_task(batches):
-    parts = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1) for b in batches if b.num_rows]
+def _forest_of_task(batches, most: int = 1 << 20):
+    """A task holds the edges of a forest and at most about `most` new ones."""
+    parts, n = [], 0
+    for b in batches:
+        parts.append(np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1))
+        n += b.num_rows
+        if n > most:
+            parts, n = [forest(np.concatenate(parts))], 0
     if parts:
         held = forest(np.concatenate(parts))
         yield pa.RecordBatch.from_arrays([pa.array(held[:, 0]), pa.array(held[:, 1])], ["a", "b"])

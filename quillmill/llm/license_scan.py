@@ -63,9 +63,10 @@ def base_places(words: list[bytes], phrases: dict[str, str] = BASE_PHRASES) -> l
     line, found = b" %b " % b" ".join(words), []
     for phrase, label in phrases.items():
         sought = b" %b " % phrase.encode()
-        at = line.find(sought)
+        at, begun, word = line.find(sought), 0, 0
         while at >= 0:
-            found.append((line.count(b" ", 0, at), label))
+            word, begun = word + line.count(b" ", begun, at), at
+            found.append((word, label))
             at = line.find(sought, at + 1)
     return found
 
