@@ -69,12 +69,12 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool
 def _nearest(asked: pa.Table, k: int, skip_self: bool, rows: int = 1024):
     """The function of a scan: each query's k best of a task's vectors."""
     q_ids = asked.column(0).to_numpy()
-    q = np.array(asked.column(1).to_pylist(), float).reshape(len(q_ids), -1)
+    q = np.array(asked.column(1).to_pylist(), float).reshape(len(q_ids), -1 if len(q_ids) else 0)
 
     def run(batches):
         best = None
         for b in batches:
-            for at in range(0, b.num_rows, rows):
+            for at in range(0, b.num_rows if len(q_ids) else 0, rows):
                 part = b.slice(at, rows)
                 v = np.array(part.column(1).to_pylist(), float).reshape(part.num_rows, -1)
                 for j in range(0, len(q_ids), rows):
