@@ -305,7 +305,7 @@ def query_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy, so without SQL; held against brute force in the tests."""
+    """The ten hits that are good and differ from one another, chosen one by one."""
     docs = table(spark, sf_dir, "documents")
     hits = bm25.search(docs, ASKED, 150, phrases=False, proximity=False).select("doc_id", F.round("score", 6).alias("score"))
     found = hits.join(docs.select("doc_id", F.array_distinct(T.words(F.lower("text"))).alias("words")), "doc_id").withColumn("query_id", F.lit(1).cast("long"))
@@ -313,3 +313,8 @@ def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["mmr_select"] = mmr_select
+ORACLES["mmr_select"] = f"""WITH RECURSIVE h AS ({TOPK.replace('LIMIT 10', 'LIMIT 30')}), c AS (SELECT h.doc_id, score, row_number() OVER (ORDER BY score DESC, h.doc_id) AS k, list_distinct({SQL_WORDS.format('lower(text)')}) AS w FROM h JOIN documents d ON d.doc_id = h.doc_id),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, coalesce(len(list_intersect(a.w, b.w)) / nullif(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)), 0), 0.0) AS s FROM c a JOIN c b ON a.doc_id <> b.doc_id),
+r AS (SELECT 1 AS n, [(SELECT doc_id FROM c WHERE k = 1)] AS picked WHERE EXISTS (SELECT 1 FROM c) UNION ALL
+SELECT n + 1, list_append(picked, best) FROM (SELECT n, picked, (SELECT arg_max(doc_id, (v, -k)) FROM (SELECT c.doc_id, k, round(0.7 * score + 0.3 * (1 - max(s)), 9) AS v FROM c JOIN x ON x.a = c.doc_id WHERE list_contains(picked, x.b) AND NOT list_contains(picked, c.doc_id) GROUP BY c.doc_id, k, score)) AS best FROM r WHERE n < 10) WHERE best IS NOT NULL)
+SELECT unnest(picked) AS doc_id, unnest(range(1, n + 1))::INT AS mmr_rank FROM (SELECT * FROM r ORDER BY n DESC LIMIT 1)"""
