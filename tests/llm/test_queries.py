@@ -85,3 +85,18 @@ def test_op10(spark, texts):
 @pytest.mark.parametrize("name", ["op3_toxicity", "op8_simhash"])
 def test_one_row_for_each_document(spark, texts, name):
     assert sorted(r.doc_id for r in queries.QUERIES[name](spark, str(SF)).collect()) == sorted(texts)
+
+
+def test_op12(spark, duck):
+    held = duck.sql("SELECT vec_id, embedding FROM embeddings").fetchall()
+    x = np.floor(1024 * np.array([v for _, v in held], float)).astype(np.int64) + 100_000
+    n, total = len(x), x.sum(axis=0)
+    centred = x - total / n
+    values = np.linalg.eigvalsh(centred.T @ centred / n)[::-1]
+    want = {k: sum((n * int(a) - int(b)) ** 2 for a, b in zip(row, total, strict=True)) for (k, _), row in zip(held, x, strict=True)}
+    rows = queries.op12_whitening(spark, str(SF)).collect()
+    assert sorted((r.vec_id, r.component) for r in rows) == [(k, c) for k in sorted(want) for c in range(1, 9)]
+    for r in rows:
+        assert (r.n, r.deviation) == (n, want[r.vec_id]) and abs(r.explained * values.sum() / values[r.component - 1] - 1) < 1e-9 and r.identity_error < 1e-9
+    white = np.array([[r.whitened for r in sorted(rows, key=lambda r: r.vec_id) if r.component == c] for c in range(1, 9)])
+    np.testing.assert_allclose(np.cov(white, bias=True), np.eye(8), atol=1e-9)
