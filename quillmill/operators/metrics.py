@@ -152,3 +152,16 @@ def delivery_stats(deliveries: DataFrame) -> DataFrame:
     """n, success percent, mean duration of those that have one."""
     done = F.count_if(F.col("status") == "success")
     return deliveries.agg(F.count("*").alias("n"), F.round(100 * done / F.greatest(F.count("*"), F.lit(1)), 6).alias("success_percent"), F.round(F.avg("duration_ms"), 6).alias("mean_ms"))
+
+
+def health(tasks: DataFrame, errors: DataFrame, most_errors: int = 10) -> DataFrame:
+    """tasks (status), errors (ts) -> one row: tasks by status, the share of successes in percent, a score that falls by twice the
+    share of failures, the errors of the newest hour, and whether all is well."""
+    n, of = F.count("*"), lambda s: F.count_if(F.col("status") == s)
+    counted = tasks.agg(n.alias("total_tasks"), of("completed").alias("completed_tasks"), of("failed").alias("failed_tasks"), F.count_if(~F.col("status").isin("completed", "failed")).alias("active_tasks"))
+    newest = errors.agg(F.max(F.unix_micros("ts")).alias("now"))  # one row
+    recent = errors.join(F.broadcast(newest)).agg(F.count_if(F.unix_micros("ts") > F.col("now") - 3_600_000_000).alias("recent_errors"))
+    rate = F.coalesce(F.try_divide("failed_tasks", "total_tasks"), F.lit(0.0))
+    rows = counted.crossJoin(recent)  # one row each
+    rows = rows.withColumn("success_percent", F.round(F.coalesce(F.try_divide(F.col("completed_tasks") * 100, "total_tasks"), F.lit(0.0)), 6)).withColumn("health_score", F.round(F.greatest(F.lit(0.0), 1 - 2 * rate), 6))
+    return rows.withColumn("healthy", (F.col("health_score") > 0.5) & (F.col("recent_errors") < most_errors))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import table_functions
-from quillmill.operators import counters
+from quillmill.operators import counters, embedding, metrics
 from quillmill.plans import chat
-from quillmill.plans.common import table
+from quillmill.plans.analytics import PRICES, USAGE, _usage
+from quillmill.plans.common import SQL_TERMS, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -73,3 +74,33 @@ SELECT doc_id, min(i)::INT AS first_line, max(i)::INT AS last_line, format FROM
 def sql_table_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where tables stand in the documents (none of these overlap in the given tables)."""
     return _registered(spark, sf_dir, "SELECT d.doc_id, r.* FROM {docs} d, LATERAL table_regions(d.text) r")
+
+
+@query("""WITH t AS (SELECT user_id, arg_max(CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END, (ts, event_id)) AS status FROM events GROUP BY 1),
+c AS (SELECT count(*) AS total_tasks, count(*) FILTER (status = 'completed') AS completed_tasks, count(*) FILTER (status = 'failed') AS failed_tasks, count(*) FILTER (status = 'running') AS active_tasks FROM t),
+e AS (SELECT count(*) AS recent_errors FROM events WHERE event_type = 'error' AND epoch_us(ts) > (SELECT max(epoch_us(ts)) FROM events WHERE event_type = 'error') - 3600000000),
+h AS (SELECT *, round(coalesce(100 * completed_tasks / nullif(total_tasks, 0), 0), 6)::DOUBLE AS success_percent, round(greatest(0, 1 - 2 * coalesce(failed_tasks / nullif(total_tasks, 0), 0)), 6)::DOUBLE AS health_score FROM c, e)
+SELECT *, health_score > 0.5 AND recent_errors < 10 AS healthy FROM h""")
+def pipeline_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users stand in for tasks; the newest event of each says how it stands."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("running")
+    tasks = events.groupBy("user_id").agg(F.max_by(status, F.struct("ts", "event_id")).alias("status"))
+    return metrics.health(tasks, events.where("event_type = 'error'"))
+
+
+@query(f"""WITH {USAGE}, p AS (SELECT * FROM (VALUES {', '.join(f"('{m}', {a}, {b})" for m, a, b in PRICES)}) v(model, i, o))
+SELECT u.model, count(*) AS n, round(sum(tokens / 1000 * coalesce(i, 0) + user_id / 1000 * coalesce(o, 0)), 6)::DOUBLE AS cost FROM u LEFT JOIN p ON u.model = p.model GROUP BY 1""")
+def evaluation_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As evaluations count it: a model without a price costs nothing."""
+    prices = spark.createDataFrame(PRICES, "model string, input_price double, output_price double")
+    usage = _usage(spark, sf_dir).select("model", F.col("tokens").alias("input_tokens"), F.col("user_id").alias("output_tokens"))
+    return metrics.priced(usage, prices, (0.0, 0.0)).groupBy("model").agg(F.count("*").alias("n"), F.round(F.sum("cost"), 6).alias("cost"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, md5(unnest({SQL_TERMS.format('text')})) AS h FROM documents),
+c AS (SELECT doc_id, ('0x' || substr(h, 1, 8))::BIGINT % 256 AS dim, sum(CASE WHEN ('0x' || substr(h, 9, 1))::BIGINT % 2 = 0 THEN 1 ELSE -1 END)::BIGINT AS n FROM t GROUP BY ALL HAVING n <> 0)
+SELECT doc_id, dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS value FROM c""")
+def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of all documents without a model."""
+    return embedding.hashed(table(spark, sf_dir, "documents")).withColumn("value", F.round("value", 6))
