@@ -89,7 +89,8 @@ def spikes(usage: DataFrame, by: str, times: float = 5.0, back: int = 10) -> Dat
     range to range, so a busy group is no single task."""
     rows = usage.select(F.col(by), F.unix_micros("ts").alias("_at"), "id", "cost")
     found = folded(rows, by, ["_at", "id"], last_mean(back, value=3), "mean", "double").where(F.col("cost") > times * F.col("mean"))
-    return found.select("id", by, "cost", F.round("mean", 6).alias("mean"))
+    # rounded as SQL's doubles are, by a whole number of millionths; F.round(mean, 6) looks at the decimal digits
+    return found.select("id", by, "cost", (F.round(F.col("mean") * 1e6) / 1e6).alias("mean"))
 
 
 def counted_within(calls: DataFrame, by: str, spans: dict[str, int]) -> DataFrame:

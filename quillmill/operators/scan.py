@@ -14,6 +14,8 @@ A range is one group of at most about `per_range` rows; states go from range to
 
 from __future__ import annotations
 
+import functools
+import operator
 import pickle
 from collections.abc import Callable, Iterable
 
@@ -226,14 +228,15 @@ def attempts(ok: int) -> Fold:
 
 def last_mean(back: int, value: int) -> Fold:
     """The mean of the last `back` values (at that place of a row), null as long as there are fewer rows; null values count as rows
-    only."""
+    only. Values are added one by one in their order, as a window of SQL does: Python's own `sum` makes good for rounding, so that
+    a value of just so many times the mean would pass in the one and not in the other."""
 
     def fold(state, rows):
         held, out = list(state or []), []
         for row in rows:
             held = [*held, row[value]][-back:]
             there = [v for v in held if v is not None and v == v]
-            out.append(sum(there) / len(there) if len(held) == back and there else None)
+            out.append(functools.reduce(operator.add, there) / len(there) if len(held) == back and there else None)
         return held, out
 
     return fold

@@ -111,3 +111,27 @@ def test_counts_within_time_and_spikes(spark):
             if k >= 9 and x[5] > 5 * mean:
                 want[x[0]] = round(mean, 6)
     assert {x.id: x.mean for x in metrics.spikes(df, "who", 5.0, 10).collect()} == pytest.approx(want) and want
+
+
+def test_means_are_added_in_order():
+    """As a window of SQL adds doubles; a compensated sum is another one here, and decides whether ten times it is passed."""
+    values = [0.1] * 10
+    total = 0.0
+    for v in values:
+        total += v
+    assert total != 1.0
+    _, found = scan.last_mean(10, value=0)(None, [(v,) for v in values])
+    assert found[-1] == total / 10
+
+
+def test_spikes_round_as_sql_does(spark):
+    """A mean whose digits end in half a millionth, but for the last bit."""
+    import duckdb
+
+    from quillmill.operators import metrics
+
+    values = [0.425121, 0.282864, 0.775136, 0.994017, 0.365214, 0.247922, 0.120979, 0.062178, 0.888367, 50.271597]
+    usage = spark.createDataFrame([("a", k, v) for k, v in enumerate(values)], "provider string, id long, cost double").withColumn("ts", F.timestamp_seconds("id"))
+    (row,) = metrics.spikes(usage, "provider", times=3.0).collect()
+    want = duckdb.execute("SELECT round(avg(c), 6) FROM (SELECT unnest(?::DOUBLE[]) AS c)", [values]).fetchone()[0]
+    assert row.mean == want
