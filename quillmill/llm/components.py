@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import written
+from quillmill.llm.common import met, written
 
 
 def forest(edges: np.ndarray) -> np.ndarray:
@@ -59,11 +59,11 @@ def components(edges: DataFrame, one_task: int = 1 << 20) -> DataFrame:
         # large star: neighbours above a node go to the least node around it
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = met(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         # small star: a node and its lower neighbours go to the least of these
         down = written(large.distinct(), "down")
         lowest = written(down.groupBy("a").agg(F.min("b").alias("m")), "lowest")
-        small = down.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lowest.select("a", F.col("m").alias("b")))
+        small = met(down, lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lowest.select("a", F.col("m").alias("b")))
         now = written(small.where("a <> b").distinct(), "edges")
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before:
@@ -75,6 +75,6 @@ def first_of_each(items: DataFrame, roots: DataFrame) -> DataFrame:
     """items (node, least: a struct to compare), roots (of components) -> node, first: the least of the node's component.
     A component's least is found by a pre-aggregated groupBy and written, so a big component is joined by skew splits."""
     component = F.coalesce("component", "node").alias("component")
-    classes = written(items.join(roots, "node", "left").select("node", "least", component), "classes")
+    classes = written(met(items, roots, "node", "left").select("node", "least", component), "classes")
     first = written(classes.groupBy("component").agg(F.min("least").alias("first")), "first")
-    return classes.join(first, "component").select("node", "first")
+    return met(classes, first, "component").select("node", "first")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import doc_texts, rows_that_stay, text_key, written
+from quillmill.llm.common import doc_texts, met, rows_that_stay, text_key, written
 from quillmill.llm.components import components, forest
 from quillmill.llm.tokens import text_slices
 
@@ -173,7 +173,7 @@ def _link_groups(per_cent: int):
 
 def _linked(placed: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     """placed (group: a struct, item), sets (item, shingles) -> links within groups."""
-    rows = placed.join(sets, "item").select(F.xxhash64("group").alias("group"), "item", "shingles")
+    rows = met(placed, sets, "item").select(F.xxhash64("group").alias("group"), "item", "shingles")
     return rows.repartition("group").sortWithinPartitions("group", "item").mapInArrow(_link_groups(per_cent), "a long, b long")
 
 
@@ -196,12 +196,12 @@ def verified_components(edges: DataFrame, items: DataFrame, sets_of, per_cent: i
     100 * intersection >= per_cent * union connect them."""
     roots = components(edges)
     cluster = roots.unionByName(roots.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("component", "cluster")
-    members = written(items.join(cluster, "node"), "members")
+    members = written(met(items, cluster, "node"), "members")
     sets = written(sets_of(members), "shingle_sets")
     of_size = members.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("m") / _MEMBERS, F.col("shingles") / _SHINGLES)).cast("long")
     wide = written(of_size.select("cluster", "m", blocks.alias("blocks")), "cluster_sizes")
-    placed = members.select("cluster", F.col("node").alias("item")).join(wide, "cluster")
+    placed = met(members.select("cluster", F.col("node").alias("item")), wide, "cluster")
     block = lambda seed: F.pmod(F.xxhash64("item", F.lit(seed)), "blocks")
     twice = F.when(F.col("blocks") > 1, F.array(block(1), F.col("blocks") + block(2))).otherwise(F.array(F.lit(0).cast("long")))
     found = written(_linked(placed.select(F.explode(twice).alias("block"), "cluster", "item").select(F.struct("cluster", "block").alias("group"), "item"), sets, per_cent), "links")
@@ -209,14 +209,14 @@ def verified_components(edges: DataFrame, items: DataFrame, sets_of, per_cent: i
     big = wide.where("blocks > 1")
     if big.isEmpty():
         return joined
-    now = members.join(big, "cluster").join(joined, "node", "left").select("cluster", "m", "blocks", F.col("node").alias("item"), F.coalesce("component", "node").alias("component"))
+    now = met(met(members, big, "cluster"), joined, "node", "left").select("cluster", "m", "blocks", F.col("node").alias("item"), F.coalesce("component", "node").alias("component"))
     now = written(now, "big_clusters")
     most = now.groupBy("cluster", "component").count().groupBy("cluster").agg(F.max(F.struct("count", "component"))["component"].alias("main"))
-    now = written(now.join(most, "cluster"), "big_clusters")
+    now = written(met(now, most, "cluster"), "big_clusters")
     apart = F.col("component") != F.col("main")
     left = now.where(apart).groupBy("cluster").agg(F.count("*").alias("left"))
     # the others of a cluster in few blocks, each of which meets each block of its members
-    now = now.join(left, "cluster").withColumn("sides", F.ceil(F.col("blocks") * F.col("left") / F.col("m")).cast("long"))
+    now = met(now, left, "cluster").withColumn("sides", F.ceil(F.col("blocks") * F.col("left") / F.col("m")).cast("long"))
     range_to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     one_side = now.where(apart).select("cluster", "item", F.pmod(F.xxhash64("item", F.lit(3)), "sides").alias("side"), F.explode(range_to("blocks")).alias("block"))
     other = now.select("cluster", "item", block(4).alias("block"), F.explode(range_to("sides")).alias("side"))

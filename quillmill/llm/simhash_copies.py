@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm import linking
-from quillmill.llm.common import doc_texts, has_repeats, ordered_id, rows_that_stay, text_key, written
+from quillmill.llm.common import doc_texts, has_repeats, met, ordered_id, rows_that_stay, text_key, written
 from quillmill.llm.components import first_of_each
 from quillmill.llm.minhash import digest, shingle_set
 from quillmill.llm.simhash import SEED, embed
@@ -123,7 +123,7 @@ def candidates(items: DataFrame) -> DataFrame:
     near = linking.cell_edges(items.where("n > 0").select("node", "fp").mapInArrow(_spread, kind), RADIUS)
     small = written(items.select(F.col("node").alias("a"), F.explode("first").alias("shingle")), "prefixes")
     least = small.groupBy("shingle").agg(F.min("a").alias("b"), F.count("*").alias("sets")).where("sets > 1")
-    return near.unionByName(small.join(least, "shingle").where("a <> b").select("a", "b"))
+    return near.unionByName(met(small, least, "shingle").where("a <> b").select("a", "b"))
 
 
 def _firsts(docs: DataFrame, rows: DataFrame, width: int, per_cent: int) -> DataFrame:
@@ -138,7 +138,7 @@ def near_dedup(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame
     """One row per row of docs: doc_id, component_id (smallest doc_id reachable)."""
     rows = written(sketches(docs, width, per_cent), "sketches")
     members = _firsts(docs, rows, width, per_cent).select(F.col("node").alias("item"), F.col("first.id").alias("component_id"))
-    return rows.select("doc_id", "item").join(members, "item").select("doc_id", "component_id")
+    return met(rows.select("doc_id", "item"), members, "item").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
