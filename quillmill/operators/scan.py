@@ -6,8 +6,8 @@ Rows are cut into ranges of the order (key, time, id), so a busy key spans many
   goes on from the range before run again from the state that this one ended in, as long as such a state changes. Folds that
   forget (windows, breakers, open batches) settle in a few rounds; a fold that never does takes a round for each range of its
   longest key. The result is always that of one loop over the rows.
-- `bucket_calls`: token buckets by composition. A range of calls maps the tokens it begins with (0 to `burst`) to those it ends
-  with: a table of burst + 1 numbers. Tables are composed along a key's ranges, one small row each, and no range runs twice.
+- `bucket_calls`: token buckets by composition. A key's calls in a range map the tokens they begin with (0 to `burst`) to those
+  they end with: a table of burst + 1 numbers. Tables are composed along a key's ranges, one small row each.
 
 A range is one group of at most about `per_range` rows; states go from range to range in a table of one row for each.
 """
@@ -21,6 +21,8 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,39 +112,81 @@ def running_total(df: DataFrame, order: list[str], value: Column, name: str, per
 def bucket_calls(calls: DataFrame, key: str, burst: int, seconds: int, per_range: int = 100_000) -> DataFrame:
     """calls (key, s: whole seconds, id, weight) -> key, id, allowed, tokens: whether its key's bucket held the call's
     weight in tokens, and what it holds after. A bucket begins full and gets a token at every multiple of `seconds`, up to
-    `burst`; a denied call takes none. Calls of a second go by id."""
-    rows = in_ranges(calls.select(key, F.col("s").cast("long"), "id", F.col("weight").cast("long")), [key, "s", "id"], per_range)
-
-    def tables(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["s", "id"])
-        tokens, last = np.arange(burst + 1), frame["s"].iloc[0]
-        for s, w in zip(frame["s"].tolist(), frame["weight"].tolist(), strict=True):
-            tokens = np.minimum(burst, tokens + s // seconds - last // seconds)
-            tokens, last = np.where(tokens >= w, tokens - w, tokens), s
-        return pd.DataFrame({key: [frame[key].iloc[0]], "range_no": [frame["range_no"].iloc[0]], "first": [frame["s"].iloc[0]], "last": [last], "to": [tokens.tolist()]})
+    `burst`; a denied call takes none. Calls of a second go by id; those without a time come last and find it full.
+
+    A range is worked on as a whole, however many keys it has; tables are made for the keys that go over a range's edge only."""
+    timed = calls.select(key, F.coalesce(F.col("s").cast("long"), F.lit(_LATE)).alias("s"), "id", F.col("weight").cast("long"))
+    rows = in_ranges(timed, [key, "s", "id"], per_range)
+
+    def ordered(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        """Rows by key, time and id; which begin a key; the tokens that come before each."""
+        code = pc.dictionary_encode(table.column(key).combine_chunks(), null_encoding="encode").indices
+        table = table.append_column("_code", code)
+        table = table.take(pc.sort_indices(table, [("_code", "ascending"), ("s", "ascending"), ("id", "ascending")]))
+        code, s = table.column("_code").to_numpy(), table.column("s").to_numpy()
+        return table, np.append(True, code[1:] != code[:-1])[: len(s)], _refills(s, np.append(s[:1], s[:-1]), burst, seconds)
+
+    def tables(table: pa.Table) -> pa.Table:
+        table, _, more = ordered(table)
+        weight, tokens = table.column("weight").to_numpy(), np.arange(burst + 1)
+        step = max(1, (1 << 20) // (burst + 1))
+        for at in range(0, len(more), step):
+            tokens = _composed(more[at : at + step], weight[at : at + step], burst)[tokens]
+        first = table.slice(0, 1)
+        ends = [pa.array([int(table.column("s")[k].as_py())]) for k in (0, -1)]
+        return pa.Table.from_arrays([first.column(key), first.column("range_no"), *ends, pa.array([tokens.tolist()], pa.list_(pa.int64()))], [key, "range_no", "first", "last", "to"])
 
     def chain(frame: pd.DataFrame) -> pd.DataFrame:
         out, tokens, last = [], burst, None
         for k, range_no, first, end, to in frame.sort_values("range_no")[[key, "range_no", "first", "last", "to"]].itertuples(index=False, name=None):
-            tokens = tokens if last is None else min(burst, tokens + first // seconds - last // seconds)
+            tokens = tokens if last is None else min(burst, tokens + int(_refills(first, last, burst, seconds)))
             out.append((k, range_no, tokens))
             tokens, last = int(to[tokens]), end
-        return pd.DataFrame(out, columns=[key, "range_no", "tokens"])
-
-    def answer(frame: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["s", "id"])
-        tokens, last, out = int(start["tokens"].iloc[0]), frame["s"].iloc[0], []
-        for call, s, w in frame[["id", "s", "weight"]].itertuples(index=False, name=None):
-            tokens = min(burst, tokens + s // seconds - last // seconds)
-            allowed = tokens >= w
-            tokens, last = tokens - w * allowed, s
-            out.append((call, allowed, tokens))
-        return pd.DataFrame(out, columns=["id", "allowed", "tokens"]).assign(**{key: frame[key].iloc[0]})[[key, "id", "allowed", "tokens"]]
+        return pd.DataFrame(out, columns=["_key", "range_no", "_begins"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        table, opens, more = ordered(table)
+        allowed, held, tokens = [], [], burst
+        begins = pc.fill_null(table.column("_begins"), burst).to_numpy()
+        for new, start, gain, w in zip(opens.tolist(), begins.tolist(), more.tolist(), table.column("weight").to_pylist(), strict=True):
+            tokens = start if new else min(burst, tokens + gain)
+            ok = tokens >= w
+            tokens -= w * ok
+            allowed.append(ok)
+            held.append(tokens)
+        return pa.Table.from_arrays([table.column(key), table.column("id"), pa.array(allowed, pa.bool_()), pa.array(held, pa.int64())], [key, "id", "allowed", "tokens"])
 
     kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    made = stored(rows.groupBy(key, "range_no").applyInPandas(tables, f"`{key}` {kind[key]}, range_no long, first long, last long, to array<long>"), "tables")
-    starts = stored(made.groupBy(key).applyInPandas(chain, f"`{key}` {kind[key]}, range_no long, tokens long"), "starts")
-    return rows.groupBy(key, "range_no").cogroup(starts.groupBy(key, "range_no")).applyInPandas(answer, f"`{key}` {kind[key]}, id {kind['id']}, allowed boolean, tokens long")
+    # the keys that a range has in common with the one before or after it: two of a range at most
+    along = Window.orderBy("range_no")  # a row for each range
+    edges = stored(rows.groupBy("range_no").agg(F.min(F.struct(F.col(key))).alias("low"), F.max(F.struct(F.col(key))).alias("high")), "edges")
+    met = edges.select("range_no", F.when(F.col("low") == F.lag("high").over(along), F.col("low")).alias("a"), F.when(F.col("high") == F.lead("low").over(along), F.col("high")).alias("b"))
+    over = met.select("range_no", F.explode(F.array_distinct(F.array_compact(F.array("a", "b")))).alias("over")).select(F.col("range_no").alias("_range"), F.col(f"over.{key}").alias("_key"))
+    over = stored(over, "edges")
+    across = rows.join(over, (F.col("range_no") == F.col("_range")) & F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    made = stored(across.groupBy("range_no", key).applyInArrow(tables, f"`{key}` {kind[key]}, range_no long, first long, last long, to array<long>"), "tables")
+    starts = stored(made.groupBy(key).applyInPandas(chain, f"_key {kind[key]}, range_no long, _begins long"), "starts")
+    begun = rows.join(starts.withColumnRenamed("range_no", "_range"), (F.col("range_no") == F.col("_range")) & F.col(key).eqNullSafe(F.col("_key")), "left").drop("_range", "_key")
+    return begun.groupBy("range_no").applyInArrow(answer, f"`{key}` {kind[key]}, id {kind['id']}, allowed boolean, tokens long")
+
+
+#: The second of calls without one.
+_LATE = 1 << 62
+
+
+def _refills(s, before, burst: int, seconds: int):
+    """The tokens that come from one call's second to the next call's, up to `burst`."""
+    return np.where(np.equal(s, _LATE), burst, np.minimum(burst, s // seconds - before // seconds))
+
+
+def _composed(more: np.ndarray, weight: np.ndarray, burst: int) -> np.ndarray:
+    """What one call after another makes of 0 to `burst` tokens: neighbours' tables become one until one is left."""
+    to = np.minimum(burst, np.arange(burst + 1)[None, :] + more[:, None])
+    to = np.where(to >= weight[:, None], to - weight[:, None], to)
+    while len(to) > 1:
+        odd = to[len(to) // 2 * 2 :]
+        to = np.concatenate([np.take_along_axis(to[1::2], to[: len(to) // 2 * 2 : 2], axis=1), odd])
+    return to[0]
 
 
 def limiter(short: int, per_short: int, long: int, per_long: int, burst: int, at: int) -> Fold:

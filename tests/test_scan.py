@@ -135,3 +135,20 @@ def test_spikes_round_as_sql_does(spark):
     (row,) = metrics.spikes(usage, "provider", times=3.0).collect()
     want = duckdb.execute("SELECT round(avg(c), 6) FROM (SELECT unnest(?::DOUBLE[]) AS c)", [values]).fetchone()[0]
     assert row.mean == want
+
+
+def test_bucket_of_many_keys_groups_ranges_only(spark):
+    """Ten thousand keys of a few calls are no ten thousand groups; a null key, keys beyond 2^53 and calls without a time stay."""
+    r = random.Random(9)
+    rows = [(r.choice([None, 2**60 + r.randrange(3000)]), r.choice([None, r.randrange(900), r.randrange(900)]), k, r.choice([1, 2])) for k in range(9000)]
+    df = spark.createDataFrame(rows, "key long, s long, id long, weight int")
+    want = {}
+    for key in {x[0] for x in rows}:
+        tokens, last = 3, None
+        for _, s, call, w in sorted((x for x in rows if x[0] == key), key=lambda x: (x[1] is None, x[1] or 0, x[2])):
+            tokens = 3 if s is None else tokens if last is None else min(3, tokens + s // 60 - last // 60)
+            tokens, last, want[call] = tokens - w * (tokens >= w), s, (key, tokens >= w, tokens - w * (tokens >= w))
+    found = scan.bucket_calls(df, "key", burst=3, seconds=60, per_range=700)
+    assert {x.id: (x.key, x.allowed, x.tokens) for x in found.collect()} == want
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInArrow [range_no" in plan and "CoGroups" not in plan
