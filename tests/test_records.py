@@ -2,7 +2,10 @@
 
 import hashlib
 import hmac
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillmill.operators import duplicates, records
@@ -53,3 +56,24 @@ def test_set_search_weighs_items(spark):
     assert duplicates.search_sets(sets, asked.where("false"), 0.3, False, 1).count() == 0 == duplicates.search_sets(sets.where("false"), asked, 0.3, False, 1).count()
     assert "Join" not in duplicates.search_sets(sets, asked, 0.3, False, 5, 1)._jdf.queryExecution().executedPlan().toString()
     assert (one.item, one.n) == (1, 5)
+
+
+def test_set_search_looks_at_common_terms_only(spark):
+    """Of 40,000 queries that share nothing with a set none is counted, and runs of rows give what one run gives."""
+    r = np.random.default_rng(3)
+    lists = [sorted(set(r.integers(0, 60, n).tolist())) for n in r.integers(1, 12, 300)]
+    asked = pa.table({"q": pa.array(range(300), pa.int64()), "h": pa.array(lists, pa.list_(pa.int64()))})
+    rows = pa.record_batch({"i": pa.array(range(300), pa.int64()), "h": pa.array(lists, pa.list_(pa.int64())), "w": pa.array(range(1, 301), pa.int64())})
+    alike = lambda a, b: round(len(set(a) & set(b)) / len(set(a) | set(b)), 6)
+    for least, strict, k in ((0.2, False, 1), (1 / 3, True, 3), (0.0, True, 2)):
+        passes = {q: sorted((-s, i) for i in range(300) if i != q for s in [alike(lists[q], lists[i])] if s and (s > least if strict else s >= least)) for q in range(300)}
+        want = {(q, i, -s, sum(j + 1 for _, j in found)) for q, found in passes.items() for s, i in found[:k]}
+        for most in (1, 500, 1 << 19):
+            (out,) = duplicates._sharing(asked, least, strict, k, most)(iter([rows]))
+            assert set(zip(*(c.to_pylist() for c in out.columns), strict=True)) == want, (least, most)
+    apart = pa.table({"q": pa.array(range(40_000), pa.int64()), "h": pa.array([[1000 + x] for x in range(40_000)], pa.list_(pa.int64()))})
+    tracemalloc.start()
+    assert not sum(b.num_rows for b in duplicates._sharing(apart, 0.2, False, 1)(iter([rows])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20  # a count for each row and query would take 96 MB
